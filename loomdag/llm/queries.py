@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomdag.llm import oracles
 from loomdag.llm.exact_dedup import exact_dedup
+from loomdag.llm.quality import quality_rules
 from loomdag.llm.sharding import assign_shards
 
 SHARDS = 24
@@ -30,10 +31,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*first, "n_lines", "lang", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op4_sharding": op4_sharding,
+        "op8_quality": op8_quality,
     }
 
 
