@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomdag.llm import oracles
 from loomdag.llm.exact_dedup import exact_dedup
 from loomdag.llm.quality import quality_rules
+from loomdag.llm.secrets import joined, secret_spans
 from loomdag.llm.sharding import assign_shards
 
 SHARDS = 24
@@ -37,11 +38,21 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*first, "n_lines", "lang", "source")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op4_sharding": op4_sharding,
         "op8_quality": op8_quality,
+        "op10_secrets": op10_secrets,
     }
 
 
