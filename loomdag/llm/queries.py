@@ -12,6 +12,7 @@ from loomdag.llm.exact_dedup import exact_dedup
 from loomdag.llm.quality import quality_rules
 from loomdag.llm.secrets import joined, secret_spans
 from loomdag.llm.sharding import assign_shards
+from loomdag.llm.simhash import near_duplicates
 
 SHARDS = 24
 
@@ -32,6 +33,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"), width=3, budget=3)
+    return found.select(
+        "doc_id", F.lpad(F.lower(F.hex("__print")), 16, "0").alias("fingerprint"), F.col("__class").alias("component_id")
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(_read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -51,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op4_sharding": op4_sharding,
+        "op6_simhash": op6_simhash,
         "op8_quality": op8_quality,
         "op10_secrets": op10_secrets,
     }
