@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 
 from loomdag.llm import oracles
 from loomdag.llm.exact_dedup import exact_dedup
+from loomdag.llm.packing import pack
 from loomdag.llm.quality import quality_rules
 from loomdag.llm.secrets import joined, secret_spans
 from loomdag.llm.sharding import assign_shards
 from loomdag.llm.simhash import near_duplicates
+from loomdag.llm.tokens import token_pieces
 
 SHARDS = 24
+SEQUENCE = 1024
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary file ``name`` lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -22,6 +32,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return df.select(*columns) if columns else df
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    pieces = token_pieces(docs, tokenizer_path("byte_bpe_50k.json"), SEQUENCE)
+    digest = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return pack(digest, SEQUENCE)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -57,6 +74,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": op2_packing,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_sharding": op4_sharding,
         "op6_simhash": op6_simhash,
