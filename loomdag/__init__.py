@@ -1 +1,9 @@
 """loomdag: a causal, relational analytics engine expressed as Spark plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel with their code, so the package need not be
+# installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
