@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomdag.llm import oracles
 from loomdag.llm.exact_dedup import exact_dedup
+from loomdag.llm.maxent import score_texts
 from loomdag.llm.packing import pack
 from loomdag.llm.quality import quality_rules
 from loomdag.llm.secrets import joined, secret_spans
@@ -63,6 +64,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*first, "n_lines", "lang", "source")
 
 
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(_read(spark, sf_dir, "documents", "doc_id", "text"))
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": op4_sharding,
         "op6_simhash": op6_simhash,
         "op8_quality": op8_quality,
+        "op9_maxent_lm": op9_maxent_lm,
         "op10_secrets": op10_secrets,
     }
 
