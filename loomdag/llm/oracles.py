@@ -10,4 +10,39 @@ ORACLES = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op5_chat_format": """
+        WITH heads AS (SELECT conv_id, min(coalesce(text, '')) AS head FROM conversations WHERE turn = 0 GROUP BY conv_id),
+        placed AS (SELECT conv_id, row_number() OVER (ORDER BY head, conv_id) - 1 AS pos FROM heads),
+        pairs AS (
+            SELECT pos // 2 AS pair_id, max(conv_id) FILTER (pos % 2 = 0) AS chosen_id, max(conv_id) FILTER (pos % 2 = 1) AS rejected_id
+            FROM placed GROUP BY pos // 2 HAVING rejected_id IS NOT NULL),
+        sides AS (
+            SELECT pair_id, chosen_id AS conv_id, 'chosen' AS side FROM pairs
+            UNION ALL SELECT pair_id, rejected_id, 'rejected' FROM pairs),
+        met AS (SELECT pair_id, side, turn, list(coalesce(role, '') || chr(0) || coalesce(text, '') ORDER BY role, text) AS says
+                FROM conversations JOIN sides USING (conv_id) GROUP BY ALL),
+        ends AS (
+            SELECT pair_id, min(turn) AS until
+            FROM (SELECT * FROM met WHERE side = 'chosen') c FULL JOIN (SELECT * FROM met WHERE side = 'rejected') r USING (pair_id, turn)
+            WHERE c.says IS DISTINCT FROM r.says GROUP BY pair_id)
+        SELECT s.pair_id, CASE WHEN turn < coalesce(until, 9223372036854775807) THEN 'prompt' ELSE side END AS part,
+               conv_id, turn, coalesce(role, '') AS role,
+               '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS rendered,
+               turn >= coalesce(until, 9223372036854775807) AND role = 'assistant' AS learn
+        FROM conversations JOIN sides s USING (conv_id) LEFT JOIN ends e ON e.pair_id = s.pair_id
+        WHERE side = 'chosen' OR turn >= coalesce(until, 9223372036854775807)
+    """,
+    "op7_warc_audit": """
+        WITH made AS (
+            SELECT page_id, 'WARC/1.0' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e
+                   || 'WARC-Target-URI: ' || coalesce(url, '') || e || 'Content-Type: application/http; msgtype=response' || e
+                   || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e || coalesce(html, '') || e || e AS record
+            FROM pages, (SELECT chr(13) || chr(10) AS e)),
+        cut AS (SELECT *, page_id % 101 = 100 AS corrupted, sum(strlen(record)) OVER (ORDER BY page_id ROWS UNBOUNDED PRECEDING) AS upto FROM made)
+        SELECT page_id, CAST(upto - strlen(record) AS BIGINT) AS start_byte, CAST(upto AS BIGINT) AS end_byte,
+               sha256(record) AS record_sha256,
+               CASE WHEN corrupted THEN sha256(left(record, length(record) - 1) || '!') ELSE sha256(record) END AS replica_sha256,
+               corrupted
+        FROM cut
+    """,
 }
