@@ -7,8 +7,8 @@ at the leaves are all pairs within the budget.
 
 The upper trie is cut into nodes of at most ``BLOCK`` fingerprints, from counts alone;
 its node pairs are found on the driver, which sees node prefixes and counts and never
-a fingerprint. Every remaining node pair is one group of the executors, which traverse
-the two subtries as ranges of sorted arrays, in chunks of bounded size. A group emits
+a fingerprint. Every remaining node pair goes with one of its nodes to a group of the executors, which
+traverse the two subtries as ranges of a sorted array, in chunks of bounded size. A group emits
 only links that join two of its components, so a group of like copies of any size gives
 fewer links than it has fingerprints. The links' components are then found by
 large-star and small-star steps over DataFrames.
@@ -34,7 +34,7 @@ from loomdag.llm.common import write_table
 
 SEED = 42
 #: Most fingerprints under one node of the upper trie.
-BLOCK = 16_384
+BLOCK = 65_536
 #: Most node pairs that a task holds in one chunk.
 CHUNK = 1 << 18
 #: Hashes that are counted at a time.
@@ -238,46 +238,43 @@ def links(prints: DataFrame, budget: int, block: int = BLOCK) -> DataFrame:
     pairs = _node_pairs(nodes, budget)
     spark = prints.sparkSession
     lows = np.array([p << (64 - d) for p, d in nodes], dtype=np.uint64)
-    partners: list[list[int]] = [[] for _ in nodes]
-    for k, (i, j) in enumerate(pairs):
-        partners[i].append(2 * k)
-        if j != i:
-            partners[j].append(2 * k + 1)
-    shared = spark.sparkContext.broadcast((lows, partners))
+    # a pair is worked on with one of its nodes, in turn, so that each node is copied to half its partners
+    tasks: list[list[int]] = [[] for _ in nodes]
+    work: dict[int, list[tuple[int, int]]] = {}
+    for i, j in pairs:
+        owner = i if (i + j) % 2 == 0 else j
+        work.setdefault(owner, []).append((i, j))
+        for n in {i, j, owner}:
+            if owner not in tasks[n]:
+                tasks[n].append(owner)
+    shared = spark.sparkContext.broadcast((lows, tasks, work))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows, partners = shared.value
-        lists = pa.array(partners, type=pa.list_(pa.int32()))
+        lows, tasks, _ = shared.value
+        lists = pa.array(tasks, type=pa.list_(pa.int32()))
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
             node = pa.array(np.searchsorted(lows, fp, side="right") - 1)
-            taken = lists.take(node)
-            yield pa.RecordBatch.from_arrays([batch.column(0), taken], names=["__print", "__tasks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists.take(node)], names=["__print", "__tasks"])
 
     dealt = prints.select("__print").mapInArrow(deal, "__print long, __tasks array<int>")
-    dealt = dealt.select("__print", F.explode("__tasks").alias("t")).select("__print", F.expr("t div 2").alias("__pair"), F.expr("t % 2").alias("__side"))
-    two_sided = {k for k, (i, j) in enumerate(pairs) if i != j}
-    both = spark.sparkContext.broadcast(two_sided)
+    dealt = dealt.select("__print", F.explode("__tasks").alias("__task"))
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = pdf["__print"].to_numpy().view(np.uint64)
-        side = pdf["__side"].to_numpy()
-        split = int(key[0]) in both.value
-        left, right = (np.sort(fp[side == 0]), np.sort(fp[side == 1])) if split else (np.sort(fp), fp[:0])
-        if split and len(left) and len(right) and left[0] > right[0]:
-            left, right = right, left
-        whole = np.concatenate([left, right])
-        n = len(left)
+        lows, _, work = shared.value
+        whole = np.sort(pdf["__print"].to_numpy().view(np.uint64))
+        edges = np.append(np.searchsorted(whole, lows), len(whole))
         forest = _Forest(len(whole))
         out: list[tuple[int, int]] = []
-        ranges = ((0, n), (n, len(whole))) if split else ((0, n), (0, n))
-        if n and len(whole) and ranges[1][0] < ranges[1][1]:
-            for x, y in _traverse(whole, *ranges, budget, 0):
-                out += forest.link(x, y)
+        for i, j in work[int(key[0])]:
+            left, right = (int(edges[i]), int(edges[i + 1])), (int(edges[j]), int(edges[j + 1]))
+            if left[0] < left[1] and right[0] < right[1]:
+                for x, y in _traverse(whole, left, right, budget, 0):
+                    out += forest.link(x, y)
         at = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": whole[at[:, 0]].view(np.int64), "b": whole[at[:, 1]].view(np.int64)})
 
-    return write_table(dealt.groupBy("__pair").applyInPandas(join, "a long, b long"), "simhash-links")
+    return write_table(dealt.groupBy("__task").applyInPandas(join, "a long, b long"), "simhash-links")
 
 
 # -- components ---------------------------------------------------------------
