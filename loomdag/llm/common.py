@@ -1,42 +1,24 @@
-"""Shared pieces: written tables in the shared folder, global prefix sums."""
+"""Shared pieces: a worker's memory, global prefix sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomdag.sources.shared import write_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor share.
 
-    It is ``spark.checkpoint.dir`` where the session names one. Only a session
-    that names none (tests, one machine) gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loomdag-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/loomdag-{spark.sparkContext.applicationId}"
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read, not a re-computation.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table that this session has written to the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def worker_memory(name: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker process keeps under ``name`` from task to task."""
+    kept = sys.modules.setdefault("loomdag_worker_memory", ModuleType("loomdag_worker_memory"))
+    if name not in vars(kept):
+        vars(kept)[name] = make()
+    return vars(kept)[name]
 
 
 def partitions(spark: SparkSession) -> int:

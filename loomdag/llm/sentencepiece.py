@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomdag.llm.common import worker_memory
+
 MARK = "▁"
 #: The kinds of pieces in a model file.
 NORMAL, UNKNOWN_KIND, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -129,9 +131,7 @@ class Model:
             found = self.known.get(part)
             if found is None:
                 found = self.viterbi(part)
-                if len(part) <= LONGEST:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
+                if len(part) <= LONGEST and len(self.known) < REMEMBERED:  # the first to come are the frequent ones
                     self.known[part] = found
             ids += found
         return ids
@@ -157,7 +157,7 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
     """``key``, ids (array of int) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Model(model)
+        coder = worker_memory(f"pieces {model}", lambda: Model(model))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -174,7 +174,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
     names = [*rows.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Model(model)
+        coder = worker_memory(f"pieces {model}", lambda: Model(model))
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
