@@ -14,14 +14,21 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Units that a worker remembers before it starts anew.
+from loomdag.llm.common import worker_memory
+
+#: About as many units as a worker remembers.
 REMEMBERED = 400_000
-#: Characters of text that are worked on at a time.
-SLICE = 2_000_000
+#: Bytes of text that are worked on at a time, unless one text has more.
+SLICE = 4_000_000
+#: Units that are encoded as one text.
+JOINED = 4096
 END = 0
+#: Fixed value: how the vocabulary writes a space.
+SPACE = "Ġ"
 
 
 class UnitEncoder:
@@ -32,76 +39,85 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str | None, int] = {None: 0}
-        self.heads: dict[str, int] = {}
-        self.pool = np.zeros(1 << 20, dtype=np.uint32)
-        self.pool[0] = END
-        self.used = 1
-        self.starts = np.zeros(1 << 16, dtype=np.int64)
-        self.lens = np.zeros(1 << 16, dtype=np.int64)
-        self.lens[0] = 1
-        self.count = 1
-
-    def _add(self, ids: list[int]) -> int:
-        n, at = len(ids), self.count
-        while self.used + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if at == len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
-        self.pool[self.used : self.used + n] = ids
-        self.starts[at], self.lens[at] = self.used, n
-        self.used += n
-        self.count += 1
-        return at
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for piece, number in self.tokenizer.get_vocab().items():
+            self.spaced[number] = piece.startswith(SPACE)
+        self.known: dict[str, int] = {}
+        self.pool = np.array([END], dtype=np.uint32)
+        self.starts = np.zeros(1, dtype=np.int64)
+        self.lens = np.ones(1, dtype=np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``units``, each with a space before it, and how many each has.
+
+        They are encoded as one text: every unit begins with a token that begins with a
+        space, and no other token does.
+        """
+        flat, counts = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(units), JOINED):
+            some = units[at : at + JOINED]
+            ids = np.array(self._encode([" " + " ".join(some)])[0], dtype=np.uint32)
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) != len(some):  # a special token has taken a space
+                each = self._encode([f" {u}" for u in some])
+                ids = np.array([i for e in each for i in e], dtype=np.uint32)
+                counts.append(np.array([len(e) for e in each], dtype=np.int64))
+            else:
+                counts.append(np.diff(np.append(first, len(ids))))
+            flat.append(ids)
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, and how many of them belong to each text (its ``END`` included)."""
-        if len(self.known) + len(self.heads) > REMEMBERED:
-            self.forget()
-        units: list[str | None] = []
-        bounds, odd = [0], []
-        for k, text in enumerate(texts):
-            own = text.split(" ")
-            units += own
-            units.append(None)
-            bounds.append(len(units))
-        at = np.fromiter(map(self.known.get, units, repeat(-2)), dtype=np.int64, count=len(units))
-        new = list({units[i] for i in np.flatnonzero(at == -2).tolist()})
-        plain = [u for u in new if u and not u[0].isspace() and not u[-1].isspace()]
-        for u in set(new) - set(plain):
-            self.known[u] = -1
-        for u, ids in zip(plain, self._encode([f" {u}" for u in plain])):
-            self.known[u] = self._add(ids)
-        missing = np.flatnonzero(at == -2)
-        at[missing] = [self.known[units[i]] for i in missing.tolist()]
-        starts = np.array(bounds[:-1])
+        if not len(texts):
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets -= offsets[0]
+        units = flat.dictionary.to_pylist()
+        lookup = np.fromiter(map(self.known.get, units, repeat(-2)), dtype=np.int64, count=len(units))
+        missing = np.flatnonzero(lookup == -2)
+        visible = [i for i in missing.tolist() if (u := units[i]) and not u[0].isspace() and not u[-1].isspace()]
+        lookup[missing] = -1
+        ids, counts = self._units([units[i] for i in visible])
+        base, stay = len(self.lens), len(self.pool)
+        pool, starts, lens = self.pool, self.starts, self.lens
+        lookup[visible] = base + np.arange(len(visible))
+        more = [(ids, counts)]
+        at = np.insert(lookup[flat.indices.to_numpy()], offsets[1:], 0)
+        begin, end = offsets[:-1] + np.arange(len(texts)), offsets[1:] + np.arange(len(texts))
         # the first unit of a text has no space before it
-        heads = [units[i] for i in starts.tolist()]
-        fresh = list({h for h in heads if h not in self.heads})
-        for h, ids in zip(fresh, self._encode(fresh)):
-            self.heads[h] = -1 if h[-1:].isspace() else self._add(ids)
-        at[starts] = [self.heads[h] for h in heads]
-        unsafe = np.add.reduceat(at == -1, starts) > 0 if len(texts) else np.zeros(0, dtype=bool)
-        odd = np.flatnonzero(unsafe).tolist()
-        for k, ids in zip(odd, self._encode([texts[k] for k in odd])):
-            lo, hi = bounds[k], bounds[k + 1]
-            at[lo : hi - 1] = 0
-            at[lo] = self._add(ids)
-        lens = self.lens[at]
-        for k in odd:
-            lens[bounds[k] + 1 : bounds[k + 1] - 1] = 0
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.repeat(self.starts[at] - (ends - lens), lens) + np.arange(total)
-        sizes = np.add.reduceat(lens, starts) if len(texts) else np.zeros(0, dtype=np.int64)
-        return self.pool[where], sizes
+        heads = parts.values.take(pa.array(parts.offsets.to_numpy()[:-1])).to_pylist()
+        each = self._encode(heads)
+        more.append((np.array([i for e in each for i in e], dtype=np.uint32), np.array([len(e) for e in each], dtype=np.int64)))
+        first = base + len(counts) + np.arange(len(texts))
+        at[begin] = np.where([h[-1:].isspace() for h in heads], -1, first)
+        # other white space next to a space: such a text is encoded as a whole
+        odd = np.flatnonzero(np.add.reduceat(at == -1, begin) > 0)
+        if len(odd):
+            each = self._encode([texts[int(k)].as_py() for k in odd])
+            more.append((np.array([i for e in each for i in e], dtype=np.uint32), np.array([len(e) for e in each], dtype=np.int64)))
+        new_ids, new_lens = np.concatenate([m[0] for m in more]), np.concatenate([m[1] for m in more])
+        pool, lens = np.concatenate([pool, new_ids]), np.concatenate([lens, new_lens])
+        starts = np.concatenate([starts, stay + np.cumsum(new_lens) - new_lens])
+        size = lens[at]
+        for n, k in enumerate(odd.tolist()):
+            size[begin[k] : end[k]] = 0
+            at[begin[k]] = len(lens) - len(odd) + n
+            size[begin[k]] = lens[at[begin[k]]]
+        ends = np.cumsum(size)
+        where = np.repeat(starts[at] - (ends - size), size) + np.arange(int(ends[-1]))
+        out, sizes = pool[where], np.add.reduceat(size, begin)
+        if len(self.known) < REMEMBERED:  # the first to come are the frequent ones
+            self.known.update(zip([units[i] for i in visible], range(base, base + len(visible))))
+            self.known.update((units[i], -1) for i in missing.tolist() if lookup[i] == -1)
+            keep = base + len(visible)
+            self.pool, self.starts, self.lens = pool[: stay + len(ids)].copy(), starts[:keep].copy(), lens[:keep].copy()
+        return out, sizes
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,16 +128,15 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int, key: str = "doc_id"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer)
+        coder = worker_memory(f"units {tokenizer}", lambda: UnitEncoder(tokenizer))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = batch.column(1)
+            upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
             lo = 0
             while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE):
-                    size += len(texts[hi])
-                    hi += 1
-                flat, sizes = encoder.encode(texts[lo:hi])
+                before = upto[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(upto, before + SLICE, side="right")))
+                flat, sizes = coder.encode(texts.slice(lo, hi - lo))
                 pieces = -(-sizes // most)
                 owner = np.repeat(np.arange(len(sizes)), pieces)
                 nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
