@@ -21,6 +21,17 @@ def worker_memory(name: str, make: Callable[[], Any]) -> Any:
     return vars(kept)[name]
 
 
+def sealed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator uses, and the new name of each column."""
+    names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def opened(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The sealed columns alone, under their own names."""
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import write_table
+from loomdag.llm.common import opened, sealed, write_table
 
 BITS_PER_ROW = 32
 #: A filter of more 64-bit words than this is joined by a shuffle, not broadcast.
@@ -102,9 +102,10 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     words, slots = build_filter(prints)
     _, judged = _judge(prints, words, slots)
     losers = write_table(judged.filter("not __kept").select(F.col("__row").alias("__lost")), "dedup-losers")
-    placed = docs.select(
-        "*", F.monotonically_increasing_id().alias("__row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__hash")
+    rows, names = sealed(docs)
+    placed = rows.select(
+        "*", F.monotonically_increasing_id().alias("__row"), F.xxhash64(F.coalesce(F.col(names[text]), F.lit(""))).alias("__hash")
     )
     tested = possibly_repeated(placed, words, slots)
     rest = tested.filter("__maybe").join(losers, F.col("__row") == F.col("__lost"), "left_anti")
-    return tested.filter("not __maybe").unionByName(rest).select(*docs.columns)
+    return opened(tested.filter("not __maybe").unionByName(rest), names)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import write_table
+from loomdag.llm.common import opened, sealed, write_table
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -50,24 +50,23 @@ def _covered(sorted_starts: Column, width: int) -> Column:
 
 
 def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+    """``docs`` (sealed) with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     Windows of three words are compared by XXH64 inside one text. A text whose
     windows all differ needs no sort; else the windows are sorted by (hash, place)
     and those equal to a neighbour are repeated.
     """
-    kept = docs.columns
-    named = {c: f"__in_{i}" for i, c in enumerate(kept)}
-    d = docs.toDF(*named.values()).withColumn("__text", F.coalesce(F.col(named[text]), F.lit("")))
+    d = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    own = docs.columns
     d = d.select(
-        *named.values(),
+        *own,
         F.filter(F.split("__text", SPACES), lambda w: w != "").alias("__words"),
         F.translate("__text", " \t\n\x0b\x0c\r", "").alias("__bare"),
         F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
     )
     words = F.col("__words")
     d = d.select(
-        *named.values(),
+        *own,
         F.size("__words").cast("long").alias("n_words"),
         F.length("__bare").cast("long").alias("word_chars"),
         (F.length("__bare") - F.length(F.translate("__bare", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -92,7 +91,7 @@ def text_features(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     d = d.withColumn("__starts", F.when(F.col("__placed").isNotNull(), F.sort_array(twins)))
     return d.select(
-        *[F.col(n).alias(c) for c, n in named.items()],
+        *own,
         "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
         F.coalesce(_covered(F.col("__starts"), 3), F.lit(0).cast("long")).alias("n_repeat_words"),
     )
@@ -152,11 +151,17 @@ def judge(features: DataFrame, lang: str = "lang", source: str = "source") -> Da
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep_text: bool = False) -> DataFrame:
-    """One row per document: its columns (without ``text`` unless ``keep_text``), features, verdict."""
-    scored = text_features(docs, text)
-    return judge(write_table(scored if keep_text else scored.drop(text), "quality-features"), lang, source)
+    """One row per document: features, base_failed and kept after its own columns, without
+    ``text`` unless ``keep_text``; a column of the same name as a result gives way to it."""
+    rows, names = sealed(docs)
+    scored = text_features(rows, names[text])
+    judged = judge(write_table(scored if keep_text else scored.drop(names[text]), "quality-features"), names[lang], names[source])
+    results = [c for c in judged.columns if c not in names.values()]
+    stay = {c: n for c, n in names.items() if c not in results and (keep_text or c != text)}
+    return judged.select(*[F.col(n).alias(c) for c, n in stay.items()], *results)
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass, with the columns of ``docs``."""
-    return quality_rules(docs, text, lang, source, keep_text=True).filter("kept").select(*docs.columns)
+    rows, names = sealed(docs)
+    return opened(quality_rules(rows, names[text], names[lang], names[source], keep_text=True).filter("kept"), names)

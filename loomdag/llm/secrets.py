@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import write_table
+from loomdag.llm.common import opened, sealed, write_table
 
 #: The contract's patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -126,11 +126,10 @@ def _battery(token: Column, stats: Column) -> Column:
     return F.when(random, p).otherwise(0.0)
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with __base (fixed spans), __found (candidates with log p)
-    and __row, written once."""
-    rest = [c for c in docs.columns if c != text]
-    d = docs.select(*rest, F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """__row, __key, __base (fixed spans) and __found (candidates with log p), written once."""
+    rest = ["__key"]
+    d = docs.select(F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     parts, patterns = [], {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": CANDIDATE}
     for kind, pattern in patterns.items():
         parts.append(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)).alias(f"__m_{kind}"))
@@ -174,9 +173,9 @@ def thresholds(scanned: DataFrame) -> list[float]:
     return out
 
 
-def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without ``text``, with __row, base_spans and spans: sorted (start, kind, end)."""
-    scanned = scan(docs, text)
+def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: ``key``, base_spans and spans, sorted (start, kind, end), and __row."""
+    scanned = scan(docs, key, text)
     limits = F.array(*[F.lit(x) for x in thresholds(scanned)])
     picked = F.filter("__found", lambda c: c["p"] <= F.get(limits, _length_class(c["n"])))
     fresh = F.filter(
@@ -184,7 +183,7 @@ def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda s: ~F.exists("__base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])),
     )
     spans = F.sort_array(F.concat(F.col("__base"), fresh))
-    return scanned.select(*[c for c in scanned.columns if c not in ("__base", "__found")], F.col("__base").alias("base_spans"), spans.alias("spans"))
+    return scanned.select(F.col("__key").alias(key), "__row", F.col("__base").alias("base_spans"), spans.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -199,9 +198,11 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     Texts without a span are passed on as they are. A row is known by its place in
     the reading, so ``docs`` must read alike twice, as files do.
     """
-    found = secret_spans(docs.select(key, text), text).filter(F.size("spans") > 0)
+    found = secret_spans(docs, key, text).filter(F.size("spans") > 0)
     found = write_table(found.select(F.col("__row").alias("__hit"), F.col("spans").alias("__spans")), "secret-hits")
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows, names = sealed(docs)
+    text, count = names[text], names.get("n_chars")
+    placed = rows.withColumn("__row", F.monotonically_increasing_id())
     whole = F.coalesce(F.col(text), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -217,6 +218,6 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     done = F.aggregate("__spans", start, step)
     clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.concat(done["out"], F.substring(whole, done["at"] + 1, F.length(whole))))
     joined_up = placed.join(found, F.col("__row") == F.col("__hit"), "left").withColumn(text, clean)
-    if "n_chars" in docs.columns:
-        joined_up = joined_up.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
-    return joined_up.select(*docs.columns)
+    if count:
+        joined_up = joined_up.withColumn(count, F.when(F.col("__spans").isNull(), F.col(count)).otherwise(F.length(text).cast("long")))
+    return opened(joined_up, names)

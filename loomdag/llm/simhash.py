@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import write_table
+from loomdag.llm.common import opened, sealed, write_table
 
 SEED = 42
 #: Most fingerprints under one node of the upper trie.
@@ -329,5 +329,6 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
         "simhash-kept",
     )
     gone = found.join(best, F.col("__row") == F.col("__stays"), "left_anti").select(F.col("__row").alias("__gone"))
-    placed = docs.withColumn("__row", F.monotonically_increasing_id())
-    return placed.join(write_table(gone, "simhash-gone"), F.col("__row") == F.col("__gone"), "left_anti").select(*docs.columns)
+    rows, names = sealed(docs)
+    placed = rows.withColumn("__row", F.monotonically_increasing_id())
+    return opened(placed.join(write_table(gone, "simhash-gone"), F.col("__row") == F.col("__gone"), "left_anti"), names)
