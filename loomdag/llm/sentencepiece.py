@@ -20,8 +20,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,6 +36,8 @@ MARK = "▁"
 NORMAL, UNKNOWN_KIND, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN = 10.0
 REMEMBERED = 300_000
+#: Rows that are worked on at a time.
+SLICE = 1024
 #: Longer parts are not remembered.
 LONGEST = 64
 
@@ -87,6 +92,22 @@ class Model:
         self.penalty = min((s for _, s in whole.values()), default=0.0) - UNKNOWN
         self.cut = all(MARK not in p.lstrip(MARK) for p in whole)
         self.known: dict[str, list[int]] = {}
+        # units (words with one space before each) that were encoded, as places in one pool
+        self.units: dict[str, int] = {}
+        self.pool = np.zeros(0, dtype=np.int32)
+        self.starts = self.lens = np.zeros(0, dtype=np.int64)
+        shown = [self._shown(i) for i in range(len(self.pieces))]
+        self.letters = np.frombuffer(b"".join(shown), dtype=np.uint8)
+        self.widths = np.array([len(x) for x in shown], dtype=np.int64)
+        self.places = np.cumsum(self.widths) - self.widths
+
+    def _shown(self, i: int) -> bytes:
+        piece, _, kind = self.pieces[i]
+        if kind == BYTE:
+            return bytes([int(piece[3:5], 16)])
+        if kind == UNKNOWN_KIND:
+            return " ⁇ ".encode()
+        return b"" if kind == CONTROL else piece.replace(MARK, " ").encode()
 
     def viterbi(self, text: str) -> list[int]:
         goto, fail, out = self.automaton.goto, self.automaton.fail, self.automaton.out
@@ -136,19 +157,67 @@ class Model:
             ids += found
         return ids
 
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of every text. A text whose spaces stand alone is looked up unit by unit;
+        others, and all where pieces may cross a space, are encoded one by one."""
+        texts = pc.fill_null(texts, "")
+        parts = pc.split_pattern(texts, " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        flat = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets -= offsets[0]
+        units, at = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        place = np.fromiter(map(self.units.get, units, repeat(-1)), dtype=np.int64, count=len(units))
+        new = np.flatnonzero(place < 0)
+        fresh = [self.viterbi(MARK + units[i]) for i in new.tolist()]
+        base, stay = len(self.lens), len(self.pool)
+        lens = np.array([len(x) for x in fresh], dtype=np.int64)
+        place[new] = base + np.arange(len(new))
+        alone = np.array([self.cut and self.prefix and bool(u) and MARK not in u for u in units] or [True])
+        odd = np.flatnonzero(~np.minimum.reduceat(alone[at], offsets[:-1])) if len(texts) else np.zeros(0, dtype=np.int64)
+        whole = [self.encode(texts[int(k)].as_py()) for k in odd]
+        pool = np.concatenate([self.pool, np.array([i for x in (*fresh, *whole) for i in x], dtype=np.int32)])
+        lens = np.concatenate([self.lens, lens, np.array([len(x) for x in whole], dtype=np.int64)])
+        starts = np.concatenate([self.starts, stay + np.cumsum(lens[base:]) - lens[base:]])
+        where = place[at]
+        size = lens[where]
+        for n, k in enumerate(odd.tolist()):
+            size[offsets[k] : offsets[k + 1]] = 0
+            where[offsets[k]] = len(lens) - len(odd) + n
+            size[offsets[k]] = len(whole[n])
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = pool[np.repeat(starts[where] - (ends - size), size) + np.arange(total)]
+        cuts = np.concatenate([[0], ends])[offsets].astype(np.int32)
+        if len(self.units) < REMEMBERED:  # the first to come are the frequent ones
+            keep = base + len(new)
+            self.units.update(zip([units[i] for i in new.tolist()], range(base, keep)))
+            self.pool, self.starts, self.lens = pool[: stay + int(lens[base:keep].sum())].copy(), starts[:keep].copy(), lens[:keep].copy()
+        return pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids, pa.int32()))
+
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            piece, _, kind = self.pieces[i]
-            if kind == BYTE:
-                out.append(int(piece[3:5], 16))
-            elif kind == UNKNOWN_KIND:
-                out += " ⁇ ".encode()
-            elif kind != CONTROL:
-                out += piece.replace(MARK, " ").encode()
-        text = out.decode(errors="replace")
+        text = b"".join(self._shown(i) for i in ids).decode(errors="replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def decode_all(self, rows: pa.ListArray) -> pa.Array:
+        """The texts of all rows, by one gather of the pieces' letters."""
+        rows = pc.fill_null(rows, [])
+        offsets = rows.offsets.to_numpy().astype(np.int64)
+        ids = rows.values.to_numpy()[offsets[0] : offsets[-1]]
+        offsets -= offsets[0]
+        size = self.widths[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        letters = self.letters[np.repeat(self.places[ids] - (ends - size), size) + np.arange(total)]
+        cuts = np.concatenate([[0], ends])[offsets].astype(np.int32)
+        raw = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(letters))])
+        try:
+            text = raw.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no text
+            text = pa.array([x.decode(errors="replace") for x in raw.to_pylist()], pa.string())
+        if not self.prefix:
+            return text
+        return pc.if_else(pc.starts_with(text, " "), pc.utf8_slice_codeunits(text, 1), text)
+
 
 PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -159,10 +228,9 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_memory(f"pieces {model}", lambda: Model(model))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = pa.array([coder.encode(t or "") for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([part.column(0), coder.encode_all(part.column(1))], names=[key, "ids"])
 
     rows = docs.select(F.col(key), F.col(text))
     return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, ids array<int>")
@@ -176,9 +244,8 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_memory(f"pieces {model}", lambda: Model(model))
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = pa.array([coder.decode(x or []) for x in part.column(at).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                yield pa.RecordBatch.from_arrays([*part.columns, coder.decode_all(part.column(at))], names=names)
 
     return rows.mapInArrow(run, StructType(list(rows.schema)).add(out, "string"))
