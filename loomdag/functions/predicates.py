@@ -42,6 +42,8 @@ def literal_type(v: Any) -> str:
 
 def operand_type(o: dict, types: dict[str, str], hint: str | None = None) -> str:
     """The type of an operand; a literal takes the other side's type where it fits."""
+    if isinstance(o, str):  # $author, $row.<column>
+        return "string" if o == "$author" else operand_type({"col": o.removeprefix("$row.")}, types)
     if "col" in o:
         if o["col"] not in types:
             raise QueryError(f"unknown column {o['col']}")
@@ -82,7 +84,7 @@ def check(p: dict, types: dict[str, str], rule: bool = False, coerce: bool = Fal
             check(x, types, rule, coerce, depth + 1)
     elif kind in ("cmp", "str"):
         left, right = p["left"], p["right"]
-        hint = operand_type(right, types) if "lit" in left else None
+        hint = operand_type(right, types) if isinstance(left, dict) and "lit" in left else None
         a = operand_type(left, types, hint)
         b = operand_type(right, types, a)
         if coerce and a in NUMERIC and b in NUMERIC:
@@ -105,7 +107,9 @@ def check(p: dict, types: dict[str, str], rule: bool = False, coerce: bool = Fal
 # -- lowering ------------------------------------------------------------------
 
 
-def operand(o: dict, types: dict[str, str], exact_utf16: bool = False) -> Column:
+def operand(o: dict | str, types: dict[str, str], exact_utf16: bool = False) -> Column:
+    if isinstance(o, str):
+        return F.col("author") if o == "$author" else F.col(f"`{o.removeprefix('$row.')}`")
     if "col" in o:
         return F.col(f"`{o['col']}`")
     if "lit" in o:
