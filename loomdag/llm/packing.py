@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from loomdag.llm.common import global_prefix, write_table
 from loomdag.llm.tokens import token_pieces
@@ -176,23 +175,25 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 
 def pack(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
     """``pieces`` (``key``, start, length, anything else) with sequence_id and offset."""
-    table = write_table(pieces, "pack-pieces")
+    table = write_table(pieces.withColumn("__piece", F.monotonically_increasing_id()), "pack-pieces")
     counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranges, _ = plan(counts, capacity)
     shared = table.sparkSession.sparkContext.broadcast(ranges)
-    ranked = global_prefix(table, ["length", key, "start"], [], "pack-ranks")
+    # only the columns that order the pieces are dealt by rank; the pieces themselves move once
+    ranked = global_prefix(table.select("__piece", "length", F.col(key).alias("__key"), "start"), ["length", "__key", "start"], [], "pack-ranks")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, sequence, each, offset, width = shared.value.T
         for batch in batches:
-            rank = batch.column(batch.num_columns - 1).to_numpy()
+            rank = batch.column(1).to_numpy()
             at = np.searchsorted(first, rank, side="right") - 1
             past = rank - first[at]
-            columns = [*batch.columns[:-1], pa.array(sequence[at] + past // each[at]), pa.array(offset[at] + past % each[at] * width[at])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "sequence_id", "offset"])
+            columns = [batch.column(0), pa.array(sequence[at] + past // each[at]), pa.array(offset[at] + past % each[at] * width[at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["__of", "sequence_id", "offset"])
 
-    schema = StructType(list(table.schema)).add("sequence_id", "long").add("offset", "long")
-    return ranked.select(*table.columns, "__index").mapInArrow(place, schema)
+    places = ranked.select("__piece", "__index").mapInArrow(place, "__of long, sequence_id long, offset long")
+    met = table.join(write_table(places, "pack-places"), F.col("__piece") == F.col("__of"))
+    return met.select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -29,6 +29,9 @@ LEAST_GROUP = 200
 #: Relative rank error of a sketch is 1 / ACCURACY.
 ACCURACY = 1000
 
+#: Fences of more groups than this are joined by a shuffle, not broadcast.
+BROADCAST_GROUPS = 100_000
+
 #: Ratio -> (SQL, least spread, whether small values are rejected too).
 RULES = {
     "word_length": ("word_chars / n_words", 1.0, True),
@@ -136,7 +139,9 @@ def fences(features: DataFrame, lang: str = "lang", source: str = "source") -> D
 
 def judge(features: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """``features`` with base_failed and kept; ``features`` must be written (it is read twice)."""
-    limits = fences(features, lang, source)
+    limits = write_table(fences(features, lang, source), "quality-fences")
+    if limits.count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
     inside = F.lit(True)
     for name, (sql, _, both) in RULES.items():
         inside = inside & (F.expr(sql) <= F.coalesce(F.col(f"__max_{name}"), F.lit(float("inf"))))
