@@ -1,9 +1,8 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
 p(word | history) = p(class of word | history) * p(word | class). The class softmax has
-hashed features of the history: the word before, the pair before, the word two back (a
-skip) and the text's running place; each feature's hash picks a row of ``CLASSES``
-weights out of ``BUCKETS``. Within its class a word has its add-one share of the counts.
+hashed features of the history: the word before, the pair before and the word two back (a
+skip); each feature's hash picks a row of ``CLASSES`` weights out of ``BUCKETS``. Within its class a word has its add-one share of the counts.
 
 Classes. The ``SINGLES`` most frequent words and the end have a class each. Every other
 word, seen or not, falls into a class by a hash of its last letters, so no word list is
@@ -26,47 +25,67 @@ rows that repeat are trained on and scored each; texts are read whole.
 
 from __future__ import annotations
 
+import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import write_table
+from loomdag.llm.common import worker_memory, write_table
 
 FOLDS, HELD = 7, 2
 #: Fixed: the end token is counted under this hash; no word is empty.
 END = 0
 FREQUENT = 1 << 17
-SINGLES = 31
-CLASSES = 64
+SINGLES = 15
+CLASSES = 32
 BUCKETS = 1 << 14
-FEATURES = 4
 ROUNDS = 2
-BATCH = 8192
+BATCH = 32768
 RATE = 0.3
-#: Words that a worker remembers, and counts that it holds, before it starts anew.
-REMEMBERED = 300_000
-SLICE = 1_500_000
+#: Words that a worker remembers, and counts that it holds before it passes them on.
+REMEMBERED = 400_000
+SLICE = 4_000_000
 
 
 def held_out(key: object) -> bool:
     return zlib.crc32(str(key).encode()) % FOLDS == HELD
 
 
-def word_hash(word: bytes) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(word)).view(np.int64)) or 1
+def word_hash(word: str) -> int:
+    """XXH64 of the word, as a signed long; never the end's."""
+    h = xxhash.xxh64_intdigest(word)
+    return (h - (1 << 64) if h >> 63 else h) or 1
 
 
-def suffix_class(word: bytes) -> int:
+def suffix_class(word: str) -> int:
     """The class of a word without one of its own, by its last two letters (code points)."""
-    tail = word.decode(errors="replace")[-2:].encode()
-    return SINGLES + 1 + xxhash.xxh32_intdigest(tail) % (CLASSES - SINGLES - 1)
+    return SINGLES + 1 + xxhash.xxh32_intdigest(word[-2:]) % (CLASSES - SINGLES - 1)
+
+
+def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, the place of each token's word among them, words per text.
+
+    A-Z are lowered; words are what stands between ASCII white space.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    offsets -= offsets[0]
+    words, at = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+    sizes = np.diff(offsets)
+    if "" in words:  # beside leading or trailing white space
+        full = at != words.index("")
+        kept = np.concatenate([[0], np.cumsum(full)])
+        sizes, at = np.diff(kept[offsets]), at[full]
+    return words, at, sizes
 
 
 class Words:
@@ -74,61 +93,52 @@ class Words:
 
     def __init__(self, frequent: dict[int, int], singles: dict[int, int]) -> None:
         self.frequent, self.singles = frequent, singles
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes | None, int] = {None: 0}
-        self.hash, self.cls, self.count = [END], [SINGLES], [self.frequent.get(END, -1)]
-        self.arrays: tuple[np.ndarray, ...] | None = None
-
-    def look(self, words: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, classes and counts (-1: not frequent); None stands for the end."""
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        at = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing or self.arrays is None:
-            for w in {words[i] for i in missing}:
-                h = word_hash(w)
-                self.known[w] = len(self.hash)
-                self.hash.append(h)
-                self.cls.append(self.singles[h] if h in self.singles else suffix_class(w))
-                self.count.append(self.frequent.get(h, -1))
-            at[missing] = [self.known[words[i]] for i in missing]
-            old = self.arrays or tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
-            n = len(old[0])
-            self.arrays = tuple(np.concatenate([o, np.array(new[n:], dtype=np.int64)]) for o, new in zip(old, (self.hash, self.cls, self.count)))
-        return tuple(v[at] for v in self.arrays)
-
-
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int, list[bytes | None], np.ndarray]]:
-    """(first text, past the last, their tokens with an end each, tokens per text)."""
+        self.known: dict[str, int] = {}
+        #: columns: hash, class, count; the first row is the end
+        self.table = np.array([[END, SINGLES, frequent.get(END, -1)]], dtype=np.int64)
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, class and count (-1: not frequent) of each token, the end of every text
+        included, and the tokens per text."""
+        words, at, sizes = split_words(texts)
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(place < 0)
+        fresh = [words[i] for i in new.tolist()]
+        hashes = [word_hash(w) for w in fresh]
+        rows = np.empty((len(fresh), 3), dtype=np.int64)
+        rows[:, 0] = hashes
+        rows[:, 1] = [suffix_class(w) if (k := self.singles.get(h)) is None else k for w, h in zip(fresh, hashes)]
+        rows[:, 2] = [self.frequent.get(h, -1) for h in hashes]
+        base = len(self.table)
+        table = np.concatenate([self.table, rows])
+        place[new] = base + np.arange(len(fresh))
+        if len(self.known) < REMEMBERED:  # the first to come are the frequent ones
+            self.known.update(zip(fresh, range(base, base + len(fresh))))
+            self.table = table
+        where = np.insert(place[at], np.cumsum(sizes), 0)
+        return table[where, 0], table[where, 1], table[where, 2], sizes + 1
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``SLICE`` bytes; a longer text is one of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
     lo = 0
     while lo < len(texts):
-        tokens: list[bytes | None] = []
-        sizes, hi, size = [], lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= SLICE):
-            own = (texts[hi] or "").encode().lower().split()
-            size += len(texts[hi] or "")
-            tokens += own
-            tokens.append(None)
-            sizes.append(len(own) + 1)
-            hi += 1
-        yield lo, hi, tokens, np.array(sizes)
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + SLICE, side="right")))
+        yield lo, hi
         lo = hi
 
 
 def _features(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(tokens, FEATURES) rows of the weight table, from each token's history."""
+    """Rows of the weight table for each token's history: the word before, the pair
+    before, the word two back."""
     h = hashes.view(np.uint64)
     place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     one = np.where(place >= 1, np.roll(h, 1), np.uint64(1))
     two = np.where(place >= 2, np.roll(h, 2), np.uint64(2))
     mix = lambda x, k: ((x ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)
-    early = np.minimum(place, 3).astype(np.uint64)
-    return np.stack(
-        [mix(one, 11), mix(one * np.uint64(0xC2B2AE3D27D4EB4F) ^ (two >> np.uint64(1)), 13), mix(two, 17), mix(early, 19)], axis=1
-    ).astype(np.int64) % BUCKETS
+    pair = one * np.uint64(0xC2B2AE3D27D4EB4F) ^ (two >> np.uint64(1))
+    return np.stack([mix(one, 11), mix(pair, 13), mix(two, 17)], axis=1).astype(np.int64) % BUCKETS
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -164,26 +174,29 @@ def count_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     """h, n: how often each word (by its hash) and the end occur in the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[str, int] = {}
+        ends = 0
 
         def flush() -> pa.RecordBatch:
-            hashes = [END if w is None else word_hash(w) for w in counts]
-            cls = [SINGLES if w is None else suffix_class(w) for w in counts]
-            out = pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(cls, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["h", "k", "n"])
+            hashes, cls, n = [word_hash(w) for w in counts], [suffix_class(w) for w in counts], list(counts.values())
             counts.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(cls, pa.int32()), pa.array(n, pa.int64())], names=["h", "k", "n"])
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for key_, t in zip(keys, batch.column(1).to_pylist()):
-                if held_out(key_):
-                    continue
-                counts.update((t or "").encode().lower().split())
-                counts[None] += 1
+            used = pa.array([not held_out(k) for k in batch.column(0).to_pylist()], pa.bool_())
+            texts = batch.column(1).filter(used)
+            ends += len(texts)
+            for lo, hi in _slices(texts):
+                words, at, _ = split_words(texts.slice(lo, hi - lo))
+                for w, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
+                    if n:
+                        counts[w] = counts.get(w, 0) + n
                 if len(counts) > REMEMBERED:
                     yield flush()
         if counts:
             yield flush()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([SINGLES], pa.int32()), pa.array([ends], pa.int64())], names=["h", "k", "n"])
 
     parts = docs.select(key, text).mapInArrow(run, "h long, k int, n long")
     return write_table(parts.groupBy("h").agg(F.min("k").alias("k"), F.sum("n").alias("n")), "lm-counts")
@@ -208,23 +221,23 @@ def _most_frequent(counts: DataFrame, most: int) -> dict[int, int]:
     return {r["h"]: r["n"] for r in counts.filter((F.col("n") >= least)).select("h", "n").collect()}
 
 
-def train(docs: DataFrame, key: str, text: str, frequent: dict[int, int], singles: dict[int, int], bias: np.ndarray, rounds: int) -> np.ndarray:
+def train(docs: DataFrame, key: str, text: str, words: Broadcast, name: str, bias: np.ndarray, rounds: int) -> np.ndarray:
     """The weights after ``rounds`` rounds of averaged local updates."""
     spark = docs.sparkSession
     weights = np.zeros((BUCKETS, CLASSES), dtype=np.float32)
-    words = spark.sparkContext.broadcast((frequent, singles))
     for turn in range(rounds):
         now = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, now=now) -> Iterator[pa.RecordBatch]:
-            memory = Words(*words.value)
+            memory = worker_memory(name, lambda: Words(*words.value))
             own, start = now.value.copy(), now.value
             heat = np.zeros(BUCKETS, dtype=np.float32)
             for batch in batches:
                 keys = batch.column(0).to_pylist()
-                texts = [t for k, t in zip(keys, batch.column(1).to_pylist()) if not held_out(k) and zlib.crc32(f"round {k}".encode()) % rounds == turn]
-                for _, _, tokens, sizes in _slices(texts):
-                    hashes, cls, _ = memory.look(tokens)
+                used = pa.array([not held_out(k) and zlib.crc32(f"round {k}".encode()) % rounds == turn for k in keys], pa.bool_())
+                texts = batch.column(1).filter(used)
+                for lo, hi in _slices(texts):
+                    hashes, cls, _, sizes = memory.tokens(texts.slice(lo, hi - lo))
                     rows = _features(hashes, sizes)
                     for at in range(0, len(cls), BATCH):
                         _step(own, heat, bias, rows[at : at + BATCH], cls[at : at + BATCH])
@@ -275,18 +288,20 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
     for r in classes:
         mass[r["k"]] = r["n"] + r["v"] + (r["k"] > SINGLES)
     bias = np.log(mass / mass.sum()).astype(np.float32)
-    weights = train(docs, key, text, frequent, singles, bias, rounds)
-    shared = spark.sparkContext.broadcast((frequent, singles, bias, weights, mass))
+    words = spark.sparkContext.broadcast((frequent, singles))
+    name = f"words {uuid.uuid4().hex}"
+    weights = train(docs, key, text, words, name, bias, rounds)
+    shared = spark.sparkContext.broadcast((bias, weights, mass))
     alone = np.arange(CLASSES) <= SINGLES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, singles, bias, weights, mass = shared.value
-        memory = Words(frequent, singles)
+        (frequent, singles), (bias, weights, mass) = words.value, shared.value
+        memory = worker_memory(name, lambda: Words(frequent, singles))
         log_mass = np.where(alone, 0.0, np.log10(mass))
         for batch in batches:
             keys = batch.column(1).to_pylist()
-            for lo, hi, tokens, sizes in _slices(batch.column(2).to_pylist()):
-                hashes, cls, count = memory.look(tokens)
+            for lo, hi in _slices(batch.column(2)):
+                hashes, cls, count, sizes = memory.tokens(batch.column(2).slice(lo, hi - lo))
                 chosen = np.empty(len(cls))
                 rows = _features(hashes, sizes)
                 for at in range(0, len(cls), BATCH):
