@@ -32,6 +32,31 @@ def opened(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
+def text_hash(text: Column) -> Column:
+    """XXH64 of a text; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, key: str, text: str, prints: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key and text hash are in ``gone`` (__key, __hash); of
+    rows that repeat both, one stays. ``prints`` has __key and __hash of every row.
+
+    Rows are known by what they hold, not by their place: another reading of ``docs``
+    may be split in another way.
+    """
+    pair = ["__key", "__hash"]
+    gone = write_table(gone.select(*pair).distinct(), "rows-gone")
+    twice = write_table(prints.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*pair), "rows-repeated")
+    rows, names = sealed(docs)
+    known = rows.select("*", F.col(names[key]).alias("__own_key"), text_hash(F.col(names[text])).alias("__own_hash"))
+    on = F.expr("__own_hash = __hash and __own_key <=> __key")
+    left = known.join(gone, on, "left_anti")
+    if not twice.isEmpty():
+        once = left.join(twice, on, "left_semi").dropDuplicates(["__own_key", "__own_hash"])
+        left = left.join(twice, on, "left_anti").unionByName(once)
+    return opened(left, names)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

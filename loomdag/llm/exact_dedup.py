@@ -95,17 +95,17 @@ def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """``docs`` without the rows that lose; all columns stay.
 
     Rows that cannot have an equal are read, tested and passed on; only possible
-    repeats shuffle, to meet the list of losers. A row is known by its place in the
-    reading, so ``docs`` must read alike twice, as files do.
+    repeats shuffle, to meet the list of losers. A row is known by its key and SHA-256,
+    not by its place: another reading of ``docs`` may be split in another way.
     """
     prints = fingerprints(docs, key, text)
     words, slots = build_filter(prints)
     _, judged = _judge(prints, words, slots)
-    losers = write_table(judged.filter("not __kept").select(F.col("__row").alias("__lost")), "dedup-losers")
+    losers = judged.filter("not __key <=> __keep").select(F.col("__key").alias("__lost"), F.col("__sha").alias("__of")).distinct()
+    losers = write_table(losers, "dedup-losers")
     rows, names = sealed(docs)
-    placed = rows.select(
-        "*", F.monotonically_increasing_id().alias("__row"), F.xxhash64(F.coalesce(F.col(names[text]), F.lit(""))).alias("__hash")
-    )
-    tested = possibly_repeated(placed, words, slots)
-    rest = tested.filter("__maybe").join(losers, F.col("__row") == F.col("__lost"), "left_anti")
-    return opened(tested.filter("not __maybe").unionByName(rest), names)
+    whole = F.coalesce(F.col(names[text]), F.lit(""))
+    tested = possibly_repeated(rows.select("*", F.xxhash64(whole).alias("__hash")), words, slots)
+    maybe = tested.filter("__maybe").select("*", F.col(names[key]).alias("__key"), F.sha2(whole, 256).alias("__sha"))
+    rest = maybe.join(losers, F.expr("__sha = __of and __key <=> __lost"), "left_anti").dropDuplicates(["__key", "__sha"])
+    return opened(tested.filter("not __maybe"), names).unionByName(opened(rest, names))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import opened, sealed, write_table
+from loomdag.llm.common import opened, sealed, text_hash, write_table
 
 #: The contract's patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -127,9 +127,9 @@ def _battery(token: Column, stats: Column) -> Column:
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """__row, __key, __base (fixed spans) and __found (candidates with log p), written once."""
+    """__key, __hash (XXH64 of the text), __base (fixed spans) and __found (candidates with log p), written once."""
     rest = ["__key"]
-    d = docs.select(F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    d = docs.select(F.col(key).alias("__key"), text_hash(F.col(text)).alias("__hash"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     parts, patterns = [], {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": CANDIDATE}
     for kind, pattern in patterns.items():
         parts.append(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)).alias(f"__m_{kind}"))
@@ -137,14 +137,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     d = d.select("*", *parts)
     # only texts with matches are split again
     cut = [F.when(F.size(f"__m_{kind}") > 0, F.split("__text", pattern, -1)).alias(f"__p_{kind}") for kind, pattern in patterns.items()]
-    d = d.select(*rest, "__row", "__values", *[f"__m_{k}" for k in KINDS], *cut)
-    d = d.select(*rest, "__row", "__values", "__m_random", *[_spans(k, F.col(f"__p_{k}"), F.col(f"__m_{k}")).alias(f"__s_{k}") for k in KINDS])
+    d = d.select(*rest, "__hash", "__values", *[f"__m_{k}" for k in KINDS], *cut)
+    d = d.select(*rest, "__hash", "__values", "__m_random", *[_spans(k, F.col(f"__p_{k}"), F.col(f"__m_{k}")).alias(f"__s_{k}") for k in KINDS])
     assigned = F.filter("__s_assign", lambda s, i: F.length(F.get(F.col("__values"), i)) >= LEAST_ASSIGNED)
     base = F.sort_array(F.concat(assigned, F.col("__s_access"), F.col("__s_hex")))
-    d = d.select(*rest, "__row", base.alias("__base"), F.arrays_zip(F.col("__s_random").alias("span"), F.col("__m_random").alias("token")).alias("__cand"))
+    d = d.select(*rest, "__hash", base.alias("__base"), F.arrays_zip(F.col("__s_random").alias("span"), F.col("__m_random").alias("token")).alias("__cand"))
     d = d.withColumn("__cand", F.transform("__cand", lambda c: F.struct(c["span"].alias("span"), c["token"].alias("token"), _token_stats(c["token"]).alias("stats"))))
     found = F.transform("__cand", lambda c: F.struct(c["span"].alias("span"), F.length(c["token"]).alias("n"), _battery(c["token"], c["stats"]).alias("p")))
-    return write_table(d.select(*rest, "__row", "__base", found.alias("__found")), "secret-candidates")
+    return write_table(d.select(*rest, "__hash", "__base", found.alias("__found")), "secret-candidates")
 
 
 def _length_class(n: Column) -> Column:
@@ -174,7 +174,7 @@ def thresholds(scanned: DataFrame) -> list[float]:
 
 
 def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``key``, base_spans and spans, sorted (start, kind, end), and __row."""
+    """One row per input row: ``key``, base_spans and spans, sorted (start, kind, end), and __hash."""
     scanned = scan(docs, key, text)
     limits = F.array(*[F.lit(x) for x in thresholds(scanned)])
     picked = F.filter("__found", lambda c: c["p"] <= F.get(limits, _length_class(c["n"])))
@@ -183,7 +183,7 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         lambda s: ~F.exists("__base", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])),
     )
     spans = F.sort_array(F.concat(F.col("__base"), fresh))
-    return scanned.select(F.col("__key").alias(key), "__row", F.col("__base").alias("base_spans"), spans.alias("spans"))
+    return scanned.select(F.col("__key").alias(key), "__hash", F.col("__base").alias("base_spans"), spans.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -195,14 +195,14 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span (overlapping ones together) replaced by ``mark``.
 
-    Texts without a span are passed on as they are. A row is known by its place in
-    the reading, so ``docs`` must read alike twice, as files do.
+    Texts without a span are passed on as they are. A row is known by its key and its
+    text's hash, not by its place: another reading of ``docs`` may be split in another way.
     """
     found = secret_spans(docs, key, text).filter(F.size("spans") > 0)
-    found = write_table(found.select(F.col("__row").alias("__hit"), F.col("spans").alias("__spans")), "secret-hits")
+    found = write_table(found.select(F.col(key).alias("__hit"), "__hash", F.col("spans").alias("__spans")).dropDuplicates(["__hit", "__hash"]), "secret-hits")
     rows, names = sealed(docs)
     text, count = names[text], names.get("n_chars")
-    placed = rows.withColumn("__row", F.monotonically_increasing_id())
+    placed = rows.select("*", F.col(names[key]).alias("__key"), text_hash(F.col(text)).alias("__own"))
     whole = F.coalesce(F.col(text), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -217,7 +217,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
 
     done = F.aggregate("__spans", start, step)
     clean = F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.concat(done["out"], F.substring(whole, done["at"] + 1, F.length(whole))))
-    joined_up = placed.join(found, F.col("__row") == F.col("__hit"), "left").withColumn(text, clean)
+    joined_up = placed.join(found, F.expr("__own = __hash and __key <=> __hit"), "left").withColumn(text, clean)
     if count:
         joined_up = joined_up.withColumn(count, F.when(F.col("__spans").isNull(), F.col(count)).otherwise(F.length(text).cast("long")))
     return opened(joined_up, names)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import opened, sealed, write_table
+from loomdag.llm.common import text_hash, without, write_table
 
 SEED = 42
 #: Most fingerprints under one node of the upper trie.
@@ -60,17 +60,17 @@ def fingerprint(text: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """__row, __key and __print (the fingerprint as a signed long), written once."""
+    """__row, __key, __hash (XXH64 of the text) and __print (the fingerprint as a signed long), written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint((t or "").encode(), width) for t in batch.column(2).to_pylist()]
+            found = [fingerprint((t or "").encode(), width) for t in batch.column(3).to_pylist()]
             prints = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints], names=["__row", "__key", "__print"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], prints], names=["__row", "__key", "__hash", "__print"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), text_hash(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
     kind = rows.schema["__key"].dataType.simpleString()
-    return write_table(rows.mapInArrow(run, f"__row long, __key {kind}, __print long"), "simhash-prints")
+    return write_table(rows.mapInArrow(run, f"__row long, __key {kind}, __hash long, __print long"), "simhash-prints")
 
 
 # -- the upper trie -----------------------------------------------------------
@@ -308,7 +308,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, budget: int = 3, block: int = BLOCK) -> DataFrame:
-    """One row per input row: __row, ``key``, __print, __class (least key of its component)."""
+    """One row per input row: __row, ``key``, __hash, __print, __class (least key of its component)."""
     rows = fingerprints(docs, key, text, width)
     distinct = write_table(rows.groupBy("__print").agg(F.min("__key").alias("__least")), "simhash-distinct")
     roots = write_table(components(links(distinct, budget, block)), "simhash-roots")
@@ -317,18 +317,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     )
     least = write_table(classed.groupBy("__root").agg(F.min("__least").alias("__class")), "simhash-least")
     named = write_table(classed.join(least, "__root").select(F.col("__print").alias("__of"), "__class"), "simhash-classes")
-    return rows.join(named, F.col("__print") == F.col("__of")).select("__row", F.col("__key").alias(key), "__print", "__class")
+    return rows.join(named, F.col("__print") == F.col("__of")).select("__row", F.col("__key").alias(key), "__hash", "__print", "__class")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, budget: int = 3) -> DataFrame:
     """``docs`` with one row of each class: the one with the least key, and of rows that
-    repeat that key the first. A row is known by its place, so ``docs`` must read alike twice."""
-    found = write_table(near_duplicates(docs, key, text, width, budget), "simhash-found")
-    best = write_table(
-        found.groupBy("__class").agg(F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__row").alias("r"))).alias("b")).select(F.col("b.r").alias("__stays")),
-        "simhash-kept",
-    )
-    gone = found.join(best, F.col("__row") == F.col("__stays"), "left_anti").select(F.col("__row").alias("__gone"))
-    rows, names = sealed(docs)
-    placed = rows.withColumn("__row", F.monotonically_increasing_id())
-    return opened(placed.join(write_table(gone, "simhash-gone"), F.col("__row") == F.col("__gone"), "left_anti"), names)
+    repeat that key the one with the least text hash."""
+    found = write_table(near_duplicates(docs, key, text, width, budget).withColumnRenamed(key, "__key"), "simhash-found")
+    order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__hash").alias("h"))
+    best = write_table(found.groupBy("__class").agg(F.min(order).alias("b")).select(F.col("__class").alias("__of"), "b"), "simhash-kept")
+    gone = found.join(best, F.expr("__class <=> __of")).filter("__hash != b.h or not __key <=> b.k")
+    return without(docs, key, text, found, gone)
