@@ -1,122 +1,147 @@
 """A hashed maximum-entropy language model with a class-factored softmax.
 
-p(word | history) = p(class of word | history) * p(word | class). The class softmax has
-hashed features of the history: the word before, the pair before and the word two back (a
-skip); each feature's hash picks a row of ``CLASSES`` weights out of ``BUCKETS``. Within its class a word has its add-one share of the counts.
-
-Classes. The ``SINGLES`` most frequent words and the end have a class each. Every other
-word, seen or not, falls into a class by a hash of its last letters, so no word list is
-needed to place a word; a class counts one word more than it has seen, for all unseen.
+p(word | history) = p(group | history) * p(class | group, history) * p(cell | class,
+history) * p(word | cell). The three softmaxes have ``WIDTH`` outcomes each and four hashed
+features of the history: the word before, the pair before, the word two back (a skip), and
+the endings of the two words before. A feature's hash picks a row of ``WIDTH`` weights;
+the second and third softmax hash the group or class into it too, so that each of them has
+features of its own. Inside its cell a word has its add-one share of the counts.
+
+Classes. The ``SINGLES`` most frequent words and the end have one of the WIDTH * WIDTH
+classes each and no cells. Every other word, seen or not, falls into a class by its last
+``ENDING`` bytes and into a cell by its own hash, so no word list is needed to place a
+word; a cell counts one word more than it has seen, for all unseen.
+
+Growth. Every word of every training text is counted, by a 64-bit hash of its bytes. Each
+softmax has a row of weights for every ``WORDS_PER_ROW`` distinct words, rounded up to a
+power of two, at least ``LEAST_ROWS`` and at most ``MOST_ROWS``; the last is what bounds
+the broadcast: 3 * MOST_ROWS * WIDTH halves, 96 MB. The ``FREQUENT`` most frequent words
+are the only other thing that is broadcast.
 
 Training. ``ROUNDS`` rounds; a round takes its own part of the training texts. Each task
-starts from the round's weights, makes Adagrad steps over mini-batches of its texts
-and emits its changes, row by row with its count of steps; changes are averaged over the
-tasks by a shuffle. The weights (BUCKETS x CLASSES floats) are the only thing broadcast
-besides the ``FREQUENT`` most frequent words; neither grows with the data.
-
-Counts. Every word of every training text is counted, by XXH64 of the word. Scoring adds
-log10(count + 1) over a text's tokens: for frequent words in the task that reads the
-text; for all others by a join on the word's hash, whose keys are rare by choice.
-
-Defined results: a null or empty text is the end token alone; ties in frequency fall to
-the smaller hash; without training texts every count is 0; an empty table gives no rows;
-rows that repeat are trained on and scored each; texts are read whole.
+starts from the round's weights, makes Adagrad steps over mini-batches of its texts and
+emits its changes, in blocks of rows with the steps that each row has seen; changes are
+averaged over the tasks by a shuffle, by those.
+
+Scoring adds log10(count + 1) over a text's tokens: for frequent words in the task that
+reads the text; for all others by a join on the word's hash, whose keys are rare by choice.
+
+Defined results: a null or empty text is the end token alone; a null key has the text
+'' for its fold; ties in frequency fall to the smaller hash; without training texts every
+count is 0; an empty table gives no rows; rows that repeat are trained on and scored
+each; texts are read whole, in stretches of bounded size; other columns are left alone.
 """
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import worker_memory, write_table
+from loomdag.llm.common import write_table
 
 FOLDS, HELD = 7, 2
-#: Fixed: the end token is counted under this hash; no word is empty.
-END = 0
+#: The end token is counted under this hash, which no word has; 0 marks an empty place.
+END = 1
 FREQUENT = 1 << 17
-SINGLES = 15
-CLASSES = 32
-BUCKETS = 1 << 14
+#: Outcomes of a softmax.
+WIDTH = 16
+CLASSES = WIDTH * WIDTH
+SINGLES = 127
+ENDING = 3
+WORDS_PER_ROW = 64
+LEAST_ROWS, MOST_ROWS = 1 << 14, 1 << 20
 ROUNDS = 2
-BATCH = 32768
-RATE = 0.3
-#: Words that a worker remembers, and counts that it holds before it passes them on.
-REMEMBERED = 400_000
-SLICE = 4_000_000
+BATCH = 16384
+RATE = 0.1
+#: Logits are held inside these bounds.
+STEEPEST = 30.0
+#: Rows of weights that travel together.
+PACKED = 64
+#: Counts that a task holds before it passes them on, and bytes of text that it splits at a time.
+REMEMBERED = 1_000_000
+SLICE = 2_000_000
+
+# -- words --------------------------------------------------------------------
 
+BLOCK = 1 << 16
+#: A word's hash is the sum of a random number a letter times STEP to the letter's place, mixed.
+STEP, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_BACK = pow(STEP, -1, 2**64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_LETTER = np.random.default_rng(42).integers(0, 2**64, 256, dtype=np.uint64)[_LOWER]
+_BARE = np.ones(256, dtype=bool)
+_BARE[[0x20, *range(0x09, 0x0E)]] = False
 
-def held_out(key: object) -> bool:
-    return zlib.crc32(str(key).encode()) % FOLDS == HELD
 
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(BLOCK - 1, base, dtype=np.uint64)], dtype=np.uint64)
 
-def word_hash(word: str) -> int:
-    """XXH64 of the word, as a signed long; never the end's."""
-    h = xxhash.xxh64_intdigest(word)
-    return (h - (1 << 64) if h >> 63 else h) or 1
 
+_UP, _DOWN = _powers(STEP), _powers(_BACK)
 
-def suffix_class(word: str) -> int:
-    """The class of a word without one of its own, by its last two letters (code points)."""
-    return SINGLES + 1 + xxhash.xxh32_intdigest(word[-2:]) % (CLASSES - SINGLES - 1)
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(MIX)
+    x ^= x >> np.uint64(29)
+    return np.where(x <= END, x + np.uint64(2), x)
 
-def split_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words, the place of each token's word among them, words per text.
 
-    A-Z are lowered; words are what stands between ASCII white space.
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and ending (0 to CLASSES - SINGLES - 2) of every word of ``texts``, and words per text.
+
+    A-Z are lowered; words are what stands between ASCII white space. One pass over the
+    bytes: running sums up to each word's ends give its hash, whatever its length.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    offsets = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, places, letters = texts.buffers()
+    offsets = np.frombuffer(places, dtype=kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(letters or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets -= offsets[0]
-    words, at = flat.dictionary.to_pylist(), flat.indices.to_numpy()
-    sizes = np.diff(offsets)
-    if "" in words:  # beside leading or trailing white space
-        full = at != words.index("")
-        kept = np.concatenate([[0], np.cumsum(full)])
-        sizes, at = np.diff(kept[offsets]), at[full]
-    return words, at, sizes
-
-
-class Words:
-    """A worker's memory of words: hash, class and, for frequent words, the count."""
-
-    def __init__(self, frequent: dict[int, int], singles: dict[int, int]) -> None:
-        self.frequent, self.singles = frequent, singles
-        self.known: dict[str, int] = {}
-        #: columns: hash, class, count; the first row is the end
-        self.table = np.array([[END, SINGLES, frequent.get(END, -1)]], dtype=np.int64)
-
-    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, class and count (-1: not frequent) of each token, the end of every text
-        included, and the tokens per text."""
-        words, at, sizes = split_words(texts)
-        place = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        new = np.flatnonzero(place < 0)
-        fresh = [words[i] for i in new.tolist()]
-        hashes = [word_hash(w) for w in fresh]
-        rows = np.empty((len(fresh), 3), dtype=np.int64)
-        rows[:, 0] = hashes
-        rows[:, 1] = [suffix_class(w) if (k := self.singles.get(h)) is None else k for w, h in zip(fresh, hashes)]
-        rows[:, 2] = [self.frequent.get(h, -1) for h in hashes]
-        base = len(self.table)
-        table = np.concatenate([self.table, rows])
-        place[new] = base + np.arange(len(fresh))
-        if len(self.known) < REMEMBERED:  # the first to come are the frequent ones
-            self.known.update(zip(fresh, range(base, base + len(fresh))))
-            self.table = table
-        where = np.insert(place[at], np.cumsum(sizes), 0)
-        return table[where, 0], table[where, 1], table[where, 2], sizes + 1
+    bare = _BARE[data]
+    first, last = bare.copy(), bare.copy()
+    if len(data):
+        gap = ~bare
+        edge = np.zeros(len(data) + 1, dtype=bool)
+        edge[offsets] = True
+        first[1:] &= gap[:-1] | edge[1:-1]
+        last[:-1] &= gap[1:] | edge[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    low, high, shift = (np.empty(len(starts), dtype=np.uint64) for _ in range(3))
+    passed, up, down = 0, 1, 1
+    for lo in range(0, len(data), BLOCK):
+        part = data[lo : lo + BLOCK]
+        sums = np.empty(len(part) + 1, dtype=np.uint64)
+        sums[0] = 0
+        np.cumsum(_LETTER[part] * _UP[: len(part)], out=sums[1:])
+        sums *= np.uint64(up)
+        sums += np.uint64(passed)
+        a, b = np.searchsorted(starts, [lo, lo + len(part)])
+        at = starts[a:b] - lo
+        low[a:b], shift[a:b] = sums[at], _DOWN[at] * np.uint64(down)
+        a, b = np.searchsorted(ends, [lo, lo + len(part)], side="right")
+        high[a:b] = sums[ends[a:b] - lo]
+        passed, up, down = int(sums[-1]), up * pow(STEP, BLOCK, 2**64) % 2**64, down * pow(_BACK, BLOCK, 2**64) % 2**64
+    length = ends - starts
+    tail = np.zeros(len(starts), dtype=np.uint32)
+    for k in range(ENDING):
+        letter = _LOWER[data[np.maximum(ends - 1 - k, 0)]] if len(data) else tail
+        tail |= np.where(length > k, letter.astype(np.uint32) << np.uint32(8 * k), np.uint32(0))
+    tail = (tail * np.uint32(0x9E3779B1) >> np.uint32(12)) % np.uint32(CLASSES - SINGLES - 1)
+    return _mixed((high - low) * shift), tail.astype(np.uint8), np.diff(np.searchsorted(starts, offsets))
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``split_words`` with the end of every text as a token (of ending 0)."""
+    hashes, tails, sizes = split_words(texts)
+    ends = np.cumsum(sizes)
+    return np.insert(hashes, ends, np.uint64(END)), np.insert(tails, ends, 0), sizes + 1
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -129,81 +154,196 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _features(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token's history: the word before, the pair
-    before, the word two back."""
-    h = hashes.view(np.uint64)
-    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    one = np.where(place >= 1, np.roll(h, 1), np.uint64(1))
-    two = np.where(place >= 2, np.roll(h, 2), np.uint64(2))
-    mix = lambda x, k: ((x ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)
-    pair = one * np.uint64(0xC2B2AE3D27D4EB4F) ^ (two >> np.uint64(1))
-    return np.stack([mix(one, 11), mix(pair, 13), mix(two, 17)], axis=1).astype(np.int64) % BUCKETS
+class Lookup:
+    """Places of hashes in a fixed list of them, by open addressing."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.place = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.int64)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]
+            mine = self.keys[at] == keys[left]
+            self.place[at[mine]] = left[mine]
+            left, at = left[~mine], (at[~mine] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(STEP)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of ``keys``, -1 for those that are not in the list."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        left, at = np.arange(len(keys)), self._home(keys)
+        own = keys
+        while len(left):
+            met = self.keys[at]
+            same = met == own
+            out[left[same]] = self.place[at[same]]
+            on = ~same & (met != 0)
+            left, own, at = left[on], own[on], (at[on] + 1) & self.mask
+        return out
+
+
+# -- the model ----------------------------------------------------------------
+
+
+def features(hashes: np.ndarray, tails: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the four features of each token's history; a text starts from none."""
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    one = np.where(place >= 1, np.roll(hashes, 1), np.uint64(0))
+    two = np.where(place >= 2, np.roll(hashes, 2), np.uint64(0))
+    near = np.where(place >= 1, np.roll(tails, 1), 254).astype(np.uint64)
+    far = np.where(place >= 2, np.roll(tails, 2), 254).astype(np.uint64)
+    both = one * np.uint64(0xC2B2AE3D27D4EB4F) ^ (two >> np.uint64(1))
+    return np.stack([one, both, two, near << np.uint64(8) | far])
+
+
+def rows_of(found: np.ndarray, rows: int, salt: np.ndarray | int) -> np.ndarray:
+    """The row of weights of each feature; ``salt`` tells the softmaxes apart. Features come first."""
+    own = np.arange(found.shape[0], dtype=np.uint64)[:, None] * np.uint64(0xA0761D6478BD642F)
+    return (((found ^ (np.asarray(salt, dtype=np.uint64) * np.uint64(MIX) + own)) * np.uint64(STEP)) >> np.uint64(64 - (rows.bit_length() - 1))).astype(np.int64)
+
+
+class Softmax:
+    """One factor: ``weights`` by row, a bias by ``group``; ``heat`` counts the steps of each weight."""
+
+    #: Upper triangle: what is summed up to each outcome.
+    UPTO = np.triu(np.ones((WIDTH, WIDTH), dtype=np.float32))
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray) -> None:
+        self.weights, self.bias = weights, bias
+        self.heat = np.zeros_like(weights)
+        self.met = np.empty((BATCH, WIDTH), dtype=np.float32)
+        self.random = np.random.default_rng(len(weights))
+
+    def _shares(self, rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits, and running sums of their exponentials over the outcomes."""
+        logits, met = self.bias[group], self.met[: rows.shape[1]]
+        for k in rows:
+            logits += np.take(self.weights, k, axis=0, out=met, mode="clip")
+        np.clip(logits, -STEEPEST, STEEPEST, out=logits)
+        return logits, np.exp(logits, out=met) @ self.UPTO
+
+    def logs(self, rows: np.ndarray, group: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """The natural logarithm of each target's probability."""
+        logits, upto = self._shares(rows, group)
+        return logits[np.arange(len(target)), target] - np.log(upto[:, -1])
+
+    def step(self, rows: np.ndarray, group: np.ndarray, target: np.ndarray) -> None:
+        """One Adagrad step over a mini-batch: up for what came, down for what the model expects.
+
+        The expectation is estimated by one draw from the model's own distribution a
+        token, which makes the step as long as the token has features, not outcomes.
+        """
+        _, upto = self._shares(rows, group)
+        drawn = (upto >= (upto[:, -1] * self.random.random(len(target), dtype=np.float32))[:, None]).argmax(axis=1)
+        on = np.flatnonzero(drawn != target)
+        sign = np.repeat(np.array([RATE, -RATE], dtype=np.float32), len(on))
+        outcome = np.concatenate([target[on], drawn[on]])
+        weights, heat = self.weights.reshape(-1), self.heat.reshape(-1)
+        for k in rows:
+            own = k[on] * WIDTH
+            at = np.concatenate([own, own]) + outcome
+            np.add.at(heat, at, np.float32(1))
+            np.add.at(weights, at, sign / np.sqrt(heat[at] + np.float32(1)))
+
+
+class Model:
+    """What a task needs: the words with a class of their own, biases and weights of the three softmaxes."""
+
+    def __init__(self, singles: np.ndarray, biases: list[np.ndarray], weights: np.ndarray) -> None:
+        self.singles = Lookup(singles)
+        self.rows = len(weights) // 3
+        self.factors = [Softmax(w, b) for w, b in zip(weights.reshape(3, self.rows, WIDTH), biases)]
+
+    def classed(self, hashes: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        own = self.singles.find(hashes)
+        return np.where(hashes == END, SINGLES, np.where(own >= 0, own, tails.astype(np.int64) + SINGLES + 1))
+
+    def _parts(self, hashes: np.ndarray, tails: np.ndarray, sizes: np.ndarray, cls: np.ndarray) -> Iterator[tuple[slice, int, np.ndarray, tuple]]:
+        """For each mini-batch and softmax: the batch, which softmax, whose tokens, and its rows, group and target."""
+        found, cell = features(hashes, tails, sizes), cell_of(hashes)
+        for lo in range(0, len(cls), BATCH):
+            part = slice(lo, lo + BATCH)
+            own, seen = cls[part], found[:, part]
+            every, group = np.arange(len(own)), own // WIDTH
+            yield part, 0, every, (rows_of(seen, self.rows, 0), np.zeros_like(own), group)
+            yield part, 1, every, (rows_of(seen, self.rows, group + 1), group, own % WIDTH)
+            many = np.flatnonzero(own > SINGLES)
+            if len(many):
+                yield part, 2, many, (rows_of(seen[:, many], self.rows, own[many] + 1), own[many], cell[part][many])
+
+    def learn(self, hashes: np.ndarray, tails: np.ndarray, sizes: np.ndarray) -> None:
+        for _, k, _, given in self._parts(hashes, tails, sizes, self.classed(hashes, tails)):
+            self.factors[k].step(*given)
 
+    def log10s(self, hashes: np.ndarray, tails: np.ndarray, sizes: np.ndarray, cls: np.ndarray, log_mass: np.ndarray) -> np.ndarray:
+        """log10 of p(class, cell | history) / mass for each token: what lacks is its count plus one."""
+        out = np.where(cls > SINGLES, -log_mass[cls, cell_of(hashes)], 0.0)
+        for part, k, some, given in self._parts(hashes, tails, sizes, cls):
+            out[part][some] += self.factors[k].logs(*given) / np.log(10)
+        return out
 
-def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[rows[:, 0]] + bias
-    for k in range(1, rows.shape[1]):
-        out += weights[rows[:, k]]
-    return out
 
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(60)).astype(np.int64)
+
+
+# -- over the corpus ----------------------------------------------------------
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
 
+def fold(key: Column) -> Column:
+    """crc32 of the key as text, by FOLDS."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
-def _step(weights: np.ndarray, heat: np.ndarray, bias: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
-    """One Adagrad step over a mini-batch; a bucket's gradient is summed over its tokens."""
-    slope = np.exp(_log_softmax(_logits(weights, bias, rows)))
-    slope[np.arange(len(cls)), cls] -= 1
-    for k in range(rows.shape[1]):
-        order = np.argsort(rows[:, k], kind="stable")
-        own = rows[order, k]
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        total = np.add.reduceat(slope[order], first, axis=0)
-        n = np.diff(np.r_[first, len(own)])[:, None]
-        total /= np.sqrt(n)
-        bucket = own[first]
-        heat[bucket] += (total * total).sum(axis=1) / CLASSES
-        weights[bucket] -= RATE * total / np.sqrt(heat[bucket] + 1e-2)[:, None] / rows.shape[1]
 
+def _binary_rows(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
 
-def count_words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """h, n: how often each word (by its hash) and the end occur in the training texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
-        ends = 0
+def count_words(texts: DataFrame) -> DataFrame:
+    """h, k, n: how often each word (by its hash, with its class) and the end occur in ``texts``."""
 
-        def flush() -> pa.RecordBatch:
-            hashes, cls, n = [word_hash(w) for w in counts], [suffix_class(w) for w in counts], list(counts.values())
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(cls, pa.int32()), pa.array(n, pa.int64())], names=["h", "k", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            hashes, tails, n = (np.concatenate(x) for x in zip(*held))
+            coded = pa.array(hashes).dictionary_encode()
+            at = coded.indices.to_numpy()
+            words = coded.dictionary.to_numpy()
+            kinds = np.empty(len(words), dtype=np.uint8)
+            kinds[at] = tails
+            return words, kinds, np.bincount(at, weights=n, minlength=len(words)).astype(np.int64)
+
+        def batch_of(words: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            cls = np.where(words == END, SINGLES, kinds.astype(np.int32) + SINGLES + 1).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(cls), pa.array(n)], names=["h", "k", "n"])
 
         for batch in batches:
-            used = pa.array([not held_out(k) for k in batch.column(0).to_pylist()], pa.bool_())
-            texts = batch.column(1).filter(used)
-            ends += len(texts)
-            for lo, hi in _slices(texts):
-                words, at, _ = split_words(texts.slice(lo, hi - lo))
-                for w, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
-                    if n:
-                        counts[w] = counts.get(w, 0) + n
-                if len(counts) > REMEMBERED:
-                    yield flush()
-        if counts:
-            yield flush()
-        if ends:
-            yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([SINGLES], pa.int32()), pa.array([ends], pa.int64())], names=["h", "k", "n"])
-
-    parts = docs.select(key, text).mapInArrow(run, "h long, k int, n long")
+            for lo, hi in _slices(batch.column(0)):
+                hashes, tails, _ = tokens(batch.column(0).slice(lo, hi - lo))
+                held.append((hashes, tails, np.ones(len(hashes), dtype=np.int64)))
+                size += len(hashes)
+                if size > REMEMBERED:
+                    held[:] = [merged()]
+                    size = len(held[0][0])
+                    if size > REMEMBERED // 2:
+                        yield batch_of(*held.pop())
+                        size = 0
+        if held:
+            yield batch_of(*merged())
+
+    parts = texts.mapInArrow(run, "h long, k int, n long")
     return write_table(parts.groupBy("h").agg(F.min("k").alias("k"), F.sum("n").alias("n")), "lm-counts")
 
 
-def _most_frequent(counts: DataFrame, most: int) -> dict[int, int]:
-    """At most ``most`` words, by a count threshold from a histogram of counts.
+def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of at most ``most`` words, by a threshold from a histogram of counts.
 
     Counts are binned exactly up to 4096 and by thousandths of their logarithm above;
     the histogram's size doesn't depend on the data.
@@ -217,56 +357,66 @@ def _most_frequent(counts: DataFrame, most: int) -> dict[int, int]:
             break
         least = r["least"]
     if least is None:
-        return {}
-    return {r["h"]: r["n"] for r in counts.filter((F.col("n") >= least)).select("h", "n").collect()}
-
-
-def train(docs: DataFrame, key: str, text: str, words: Broadcast, name: str, bias: np.ndarray, rounds: int) -> np.ndarray:
-    """The weights after ``rounds`` rounds of averaged local updates."""
-    spark = docs.sparkSession
-    weights = np.zeros((BUCKETS, CLASSES), dtype=np.float32)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    found = counts.filter(F.col("n") >= least).select("h", "n").toArrow()
+    h, n = (found.column(c).to_numpy() for c in ("h", "n"))
+    order = np.lexsort((h.view(np.uint64), -n))
+    return h.view(np.uint64)[order], n[order]
+
+
+def train(texts: DataFrame, singles: np.ndarray, biases: list[np.ndarray], rows: int, rounds: int) -> np.ndarray:
+    """The weights of the three softmaxes, one above the other, after ``rounds`` rounds of
+    averaged local updates; ``texts`` has text and turn."""
+    spark = texts.sparkSession
+    weights = np.zeros((3 * rows, WIDTH), dtype=np.float32)
     for turn in range(rounds):
-        now = spark.sparkContext.broadcast(weights)
+        shared = spark.sparkContext.broadcast((singles, biases, weights.astype("<f2")))
 
-        def run(batches: Iterator[pa.RecordBatch], turn: int = turn, now=now) -> Iterator[pa.RecordBatch]:
-            memory = worker_memory(name, lambda: Words(*words.value))
-            own, start = now.value.copy(), now.value
-            heat = np.zeros(BUCKETS, dtype=np.float32)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            model = None
             for batch in batches:
-                keys = batch.column(0).to_pylist()
-                used = pa.array([not held_out(k) and zlib.crc32(f"round {k}".encode()) % rounds == turn for k in keys], pa.bool_())
-                texts = batch.column(1).filter(used)
-                for lo, hi in _slices(texts):
-                    hashes, cls, _, sizes = memory.tokens(texts.slice(lo, hi - lo))
-                    rows = _features(hashes, sizes)
-                    for at in range(0, len(cls), BATCH):
-                        _step(own, heat, bias, rows[at : at + BATCH], cls[at : at + BATCH])
-            used = np.flatnonzero(heat)
-            change = (own - start)[used].astype("<f4")
-            for at in range(0, len(used), 1024):
-                bucket = pa.array(used[at : at + 1024])
-                yield pa.RecordBatch.from_arrays(
-                    [bucket, pa.array(heat[used[at : at + 1024]].astype(float)), pa.array([row.tobytes() for row in change[at : at + 1024]], pa.binary())],
-                    names=["bucket", "weight", "change"],
-                )
-
-        changes = docs.select(key, text).mapInArrow(run, "bucket long, weight double, change binary")
+                if model is None:
+                    singles, biases, start = shared.value
+                    model = Model(singles, biases, start.astype(np.float32))
+                for lo, hi in _slices(batch.column(0)):
+                    model.learn(*tokens(batch.column(0).slice(lo, hi - lo)))
+            if model is None:
+                return
+            for k, factor in enumerate(model.factors):
+                heat = factor.heat.sum(axis=1).reshape(-1, PACKED)
+                used = np.flatnonzero(heat.any(axis=1))
+                for at in range(0, len(used), 256):
+                    some = used[at : at + 256]
+                    old = start[k * rows : (k + 1) * rows].reshape(-1, PACKED * WIDTH)[some].astype(np.float32)
+                    change = (factor.weights.reshape(-1, PACKED * WIDTH)[some] - old).astype("<f2")
+                    place = pa.array(some + k * (rows // PACKED))
+                    yield pa.RecordBatch.from_arrays([place, _binary_rows(heat[some].astype("<f4")), _binary_rows(change)], names=["place", "heat", "change"])
+
+        changes = texts.filter(F.col("turn") == turn).select("text").mapInArrow(run, "place long, heat binary, change binary")
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Sums over one partition of buckets: all changes of a bucket meet here."""
+            """Means over one partition of places: all changes of a place meet here."""
             total: dict[int, np.ndarray] = {}
+            heats: dict[int, np.ndarray] = {}
             for batch in batches:
-                for b, w, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    add = np.append(np.frombuffer(c, dtype="<f4").astype(float) * w, w)
-                    total[b] = total[b] + add if b in total else add
-            if total:
-                rows = [(v[:-1] / v[-1]).astype("<f4").tobytes() for v in total.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "change"])
-
-        merged = changes.repartition("bucket").mapInArrow(mean, "bucket long, change binary")
-        weights = weights.copy()
-        for r in write_table(merged, "lm-weights").collect():
-            weights[r["bucket"]] += np.frombuffer(r["change"], dtype="<f4")
+                for p, h, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    heat = np.frombuffer(h, dtype="<f4")
+                    add = np.frombuffer(c, dtype="<f2").astype(np.float32).reshape(PACKED, WIDTH) * heat[:, None]
+                    if p in total:
+                        total[p] += add
+                        heats[p] += heat
+                    else:
+                        total[p], heats[p] = add, heat.copy()
+            for p, sums in total.items():
+                means = sums / np.maximum(heats[p], 1e-12)[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([means.astype("<f2").tobytes()], pa.binary())], names=["place", "change"])
+
+        merged = write_table(changes.repartition("place").mapInArrow(mean, "place long, change binary"), "lm-weights").toArrow()
+        blocks = weights.reshape(-1, PACKED * WIDTH)
+        for batch in merged.to_batches():
+            change = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<f2").reshape(-1, PACKED * WIDTH)
+            blocks[batch.column(0).to_numpy()] += change
+        shared.unpersist()
     return weights
 
 
@@ -274,62 +424,59 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
     """One row per input row: ``key``, held_out, n_tokens, n_known, train_tokens,
     base_score (add-one unigrams) and score (the model), both log10."""
     spark = docs.sparkSession
-    counts = count_words(docs, key, text)
+    turn = F.crc32(F.concat(F.lit("round "), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")) % rounds
+    learned = docs.filter(fold(F.col(key)) != HELD).select(F.col(text).alias("text"), turn.alias("turn"))
+    counts = count_words(learned.select("text"))
     totals = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, v = int(totals[0] or 0), int(totals[1])
-    frequent = _most_frequent(counts, FREQUENT)
-    top = sorted((h for h in frequent if h != END), key=lambda h: (-frequent[h], h))[:SINGLES]
-    singles = {h: i for i, h in enumerate(top)}
-    own = F.when(F.col("h") == END, SINGLES).otherwise(F.col("k"))
-    classes = counts.filter(~F.col("h").isin(top)).groupBy(own.alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    mass = np.ones(CLASSES)  # an unseen word for every class but those of one word
-    for h, i in singles.items():
-        mass[i] = frequent[h] + 1
-    for r in classes:
-        mass[r["k"]] = r["n"] + r["v"] + (r["k"] > SINGLES)
-    bias = np.log(mass / mass.sum()).astype(np.float32)
-    words = spark.sparkContext.broadcast((frequent, singles))
-    name = f"words {uuid.uuid4().hex}"
-    weights = train(docs, key, text, words, name, bias, rounds)
-    shared = spark.sparkContext.broadcast((bias, weights, mass))
-    alone = np.arange(CLASSES) <= SINGLES
+    rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (v // WORDS_PER_ROW).bit_length()))
+    frequent, often = _most_frequent(counts, FREQUENT)
+    singles = frequent[frequent != END][:SINGLES]
+    # an unseen word for every cell, and none for a class of one word
+    mass, cells = np.ones(CLASSES), np.ones((CLASSES, WIDTH))
+    top = [int(h) for h in singles.view(np.int64)]
+    by_cell = counts.filter(~F.col("h").isin(top)).groupBy("k", F.shiftrightunsigned("h", 60).cast("int").alias("c"))
+    for r in by_cell.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        cells[r["k"], r["c"]] += r["n"] + r["v"]
+    mass[SINGLES:] = cells[SINGLES:].sum(axis=1)
+    mass[SINGLES] = max(1, mass[SINGLES] - WIDTH)
+    mass[: len(singles)] = often[np.isin(frequent, singles)] + 1
+    tree = mass.reshape(WIDTH, WIDTH)
+    logs = lambda x: np.log(x / x.sum(axis=1, keepdims=True)).astype(np.float32)
+    biases = [logs(tree.sum(axis=1)[None, :]), logs(tree), logs(cells)]
+    weights = train(learned, singles, biases, rows, rounds)
+    shared = spark.sparkContext.broadcast((frequent, often, singles, biases, weights.astype("<f2"), np.log10(cells)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (frequent, singles), (bias, weights, mass) = words.value, shared.value
-        memory = worker_memory(name, lambda: Words(frequent, singles))
-        log_mass = np.where(alone, 0.0, np.log10(mass))
+        frequent, often, singles, biases, weights, log_mass = shared.value
+        model, known = Model(singles, biases, weights.astype(np.float32)), Lookup(frequent)
+        logs_of = np.append(np.log10(often + 1.0), 0.0)
         for batch in batches:
-            keys = batch.column(1).to_pylist()
-            for lo, hi in _slices(batch.column(2)):
-                hashes, cls, count, sizes = memory.tokens(batch.column(2).slice(lo, hi - lo))
-                chosen = np.empty(len(cls))
-                rows = _features(hashes, sizes)
-                for at in range(0, len(cls), BATCH):
-                    part = cls[at : at + BATCH]
-                    chosen[at : at + BATCH] = _log_softmax(_logits(weights, bias, rows[at : at + BATCH]))[np.arange(len(part)), part]
-                first = np.cumsum(sizes) - sizes
-                seen = count >= 0
-                logs = np.where(seen, np.log10(np.maximum(count, 0) + 1.0), 0.0)
-                model = chosen / np.log(10) - log_mass[cls] + np.where(alone[cls], 0.0, logs)
-                rare = np.flatnonzero(~seen)
-                owner = np.repeat(np.arange(len(sizes)), sizes)[rare]
-                cut = np.searchsorted(owner, np.arange(len(sizes) + 1)).astype(np.int32)
+            for lo, hi in _slices(batch.column(3)):
+                hashes, tails, sizes = tokens(batch.column(3).slice(lo, hi - lo))
+                at = known.find(hashes)
+                logs, first = logs_of[at], np.cumsum(sizes) - sizes
+                cls = model.classed(hashes, tails)
+                # a class of one word holds no share of counts
+                part = model.log10s(hashes, tails, sizes, cls, log_mass) + np.where(cls > SINGLES, logs, 0.0)
+                rare = np.flatnonzero(at < 0)
+                cut = np.searchsorted(rare, np.append(first, len(hashes))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
-                        pa.array([held_out(k) for k in keys[lo:hi]]), pa.array(sizes.astype(np.int64)),
-                        pa.array(np.add.reduceat((seen & (count > 0)).astype(np.int64), first)),
-                        pa.array(np.add.reduceat(logs, first)), pa.array(np.add.reduceat(model, first)),
-                        pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes[rare])),
+                        *(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(sizes.astype(np.int64)),
+                        pa.array(np.add.reduceat((at >= 0).astype(np.int64), first)),
+                        pa.array(np.add.reduceat(logs, first)), pa.array(np.add.reduceat(part, first)),
+                        pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes[rare].view(np.int64))),
                     ],
                     names=["__row", "__key", "__held", "__tokens", "__known", "__logs", "__model", "__rare"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
-    kind = rows.schema["__key"].dataType.simpleString()
+    given = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), (fold(F.col(key)) == HELD).alias("__held"), F.col(text).alias("__text"))
+    kind = given.schema["__key"].dataType.simpleString()
     read = write_table(
-        rows.mapInArrow(run, f"__row long, __key {kind}, __held boolean, __tokens long, __known long, __logs double, __model double, __rare array<long>"), "lm-read"
+        given.mapInArrow(run, f"__row long, __key {kind}, __held boolean, __tokens long, __known long, __logs double, __model double, __rare array<long>"), "lm-read"
     )
+    # rare words are summed up per text by the count they were met with
     rare = read.select("__row", F.explode("__rare").alias("h"))
     met = rare.join(counts.select("h", "n"), "h")
     sums = met.groupBy("__row").agg(F.count(F.lit(1)).alias("__more"), F.sum(F.log10(F.col("n") + 1)).alias("__sum"))
