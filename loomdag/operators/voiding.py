@@ -3,8 +3,10 @@
 An operation is judged at its own entry, seen from ``later``: its table's rules, then its
 references. It reads other operations only where they count themselves, so verdicts
 depend on each other; an entry that is met while it is being judged counts as void. The
-definition is by recursion and is evaluated as such, one log per task; verdicts that no
-such meeting has touched are remembered.
+definition is by recursion and is evaluated as such, one log per task. A verdict is
+remembered for other verdicts only if no such meeting happened anywhere below it, so
+that none depends on who was asked first; a verdict inside a cycle is found anew for
+everyone who asks.
 
 Entries: dag_id, hash, prev, payload - JSON {"kind": "create"|"ops"|"deploy", "ops": [{table,
 rowId, uuid, author, action, values}], "schema": n}. ``deploy`` moves the group to
@@ -34,21 +36,42 @@ class Group:
         self.schemas = schemas
         self.foreign = foreign
         self.stack: list[str] = []
-        self.met = 0
+        self.meetings = 0
         self.known: dict[tuple[str, tuple[str, ...]], dict | None] = {}
+        #: verdicts that were asked for from outside: those of a cycle serve no other verdict
+        self.asked: dict[tuple[str, tuple[str, ...]], dict | None] = {}
         self.by_row: dict[str, list[tuple[str, int, dict]]] = {}
         self.by_table: dict[str, set[str]] = {}
+        self.by_value: dict[tuple[str, str, Any], set[str]] = {}
+        self.deploys = [(h, x["schema"]) for h, x in self.load.items() if x["kind"] in ("create", "deploy")]
+        self.hists: dict[tuple[str, ...], set[str]] = {}
+        self.besides: dict[tuple[tuple[str, ...], tuple[str, ...]], set[str]] = {}
         for h in self.dag.ordered(self.load):
             for i, op in enumerate(self.load[h].get("ops", [])):
                 self.by_row.setdefault(op["rowId"], []).append((h, i, op))
                 self.by_table.setdefault(op["table"], set()).add(op["rowId"])
+                for c, v in op.get("values", {}).items():
+                    if not isinstance(v, (dict, list)):
+                        self.by_value.setdefault((op["table"], c, v), set()).add(op["rowId"])
 
     # -- versions
 
+    def _hist(self, at: list[str]) -> set[str]:
+        key = tuple(sorted(at))
+        if key not in self.hists:
+            self.hists[key] = self.dag.hist(at)
+        return self.hists[key]
+
+    def _beside(self, later: list[str], at: list[str]) -> set[str]:
+        key = (tuple(sorted(later)), tuple(sorted(at)))
+        if key not in self.besides:
+            self.besides[key] = self.dag.conc(later, at)
+        return self.besides[key]
+
     def schema(self, at: list[str], later: list[str]) -> Schema:
         """The largest schema deployed at or before ``at``, or concurrently as seen from ``later``."""
-        seen = self.dag.hist(at) | self.dag.conc(later, at)
-        return self.schemas[max([x["schema"] for h, x in self.load.items() if x["kind"] in ("create", "deploy") and h in seen], default=0)]
+        seen, beside = self._hist(at), self._beside(later, at)
+        return self.schemas[max([n for h, n in self.deploys if h in seen or h in beside], default=0)]
 
     # -- verdicts
 
@@ -57,17 +80,21 @@ class Group:
         key = (entry, tuple(sorted(later)))
         if key in self.known:
             return self.known[key]
+        if not self.stack and key in self.asked:
+            return self.asked[key]
         if entry in self.stack:
-            self.met = min(self.met, self.stack.index(entry))
+            self.meetings += 1
             return {"kind": "authorization-cycle"}
-        depth, outer = len(self.stack), self.met
+        before = self.meetings
         self.stack.append(entry)
-        self.met = depth + 1
-        reason = self._diagnose(entry, later)
-        self.stack.pop()
-        if self.met >= depth:  # nothing above took part
+        try:
+            reason = self._diagnose(entry, later)
+        finally:
+            self.stack.pop()
+        if self.meetings == before:
             self.known[key] = reason
-        self.met = min(outer, self.met)
+        elif not self.stack:
+            self.asked[key] = reason
         return reason
 
     def _diagnose(self, entry: str, later: list[str]) -> dict | None:
@@ -152,13 +179,13 @@ class Group:
 
     def insert(self, table: str, row: str, at: list[str], later: list[str], bypass: str | None = None) -> dict | None:
         """The winning insert of a live row."""
-        seen = self._counted(table, row, self.dag.hist(at), later, bypass)
+        seen = self._counted(table, row, self._hist(at), later, bypass)
         inserts = {h: op for h, op in seen if op["action"] == "insert"}
         if not inserts or any(op["action"] == "delete" for _, op in seen):
             return None
         barriers = [h for h, _, op in self.by_row.get(row, []) if op["action"] == "delete" and op["table"] == table]
         if barriers:
-            for h in set(barriers) & self.dag.conc(later, at):
+            for h in sorted(set(barriers) & self._beside(later, at)):
                 holder = self.schema([h], later).get(table)
                 if holder and holder.concurrent_deletes and self.void(h, later) is None:
                     return None
@@ -169,7 +196,7 @@ class Group:
 
     def values(self, table: str, row: str, at: list[str], later: list[str]) -> dict:
         by: dict[str, dict[str, Any]] = {}
-        for h, op in self._counted(table, row, self.dag.hist(at), later):
+        for h, op in self._counted(table, row, self._hist(at), later):
             for c, v in op.get("values", {}).items() if op["action"] != "delete" else ():
                 by.setdefault(c, {})[h] = v
         return {c: ws[max(self.dag.maxima(ws))] for c, ws in by.items()}
@@ -182,11 +209,12 @@ class Group:
     def exists(self, table: str, where: dict, at: list[str], later: list[str]) -> bool:
         if "." in table:
             return bool(self.foreign and self.foreign(table, where, at, later))
-        for row in sorted(self.by_table.get(table, ())):
-            # candidates come from written values; a default alone doesn't make one
-            written = {c for _, _, op in self.by_row[row] for c, v in op.get("values", {}).items() if where.get(c) == v}
-            if not (written or "rowAuthor" in where):
-                continue
+        # candidates come from written values; a default alone doesn't make one
+        if "rowAuthor" in where or any(isinstance(v, (dict, list)) for v in where.values()):
+            candidates = self.by_table.get(table, set())
+        else:
+            candidates = set().union(*(self.by_value.get((table, c, v), set()) for c, v in where.items()))
+        for row in sorted(candidates):
             found = self.insert(table, row, at, later)
             if found is None:
                 continue

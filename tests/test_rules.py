@@ -1,5 +1,7 @@
 """Verdicts, schemas and canonical forms on small histories."""
 
+import random
+
 import pytest
 
 from loomdag.functions import canonical as C
@@ -57,6 +59,51 @@ def test_mutual_revocation_leaves_both():
     assert g.live("caps", "ca", ["1", "2"], ["1", "2"]) and g.live("caps", "cb", ["1", "2"], ["1", "2"])
 
 
+class Forgetful(Group):
+    """The definition by recursion, without any memory."""
+
+    def void(self, entry, later):
+        self.known.clear()
+        self.asked.clear()
+        return super().void(entry, later)
+
+
+@pytest.mark.parametrize("order", [("1", "2"), ("2", "1")])
+def test_mutual_revocation_whoever_is_asked_first(order):
+    g = group([GENESIS, ("1", ["0"], [op("caps", "delete", "cb", "ann")]), ("2", ["0"], [op("caps", "delete", "ca", "bob")])])
+    assert all(g.void(h, ["1", "2"]) for h in order)
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_verdicts_need_no_memory(seed):
+    """Random logs in which admins grant to and revoke from each other concurrently."""
+    rng = random.Random(seed)
+    names = ["ann", "bob", "cat", "dan"]
+    entries, heads, serial = [GENESIS], ["0"], 0
+    for i in range(1, 9):
+        prev = sorted(set(rng.sample(heads, min(len(heads), rng.choice([1, 1, 2])))))
+        who = rng.choice(names)
+        if rng.random() < 0.35:
+            serial += 1
+            ops = [op("caps", "insert", f"c{serial}", who, label="admin", grantee=rng.choice(names))]
+        elif rng.random() < 0.8:
+            ops = [op("caps", "delete", rng.choice(["ca", "cb", *[f"c{k}" for k in range(1, serial + 1)]]), who)]
+        else:
+            ops = [op("docs", "insert", f"d{i}", who, body="x")]
+        entries.append((str(i), prev, ops))
+        heads = [str(i), *rng.sample(heads, min(len(heads), 2))]
+    made = [(h, p, {"kind": "create", "schema": 0, "ops": o} if h == "0" else {"kind": "ops", "ops": o}) for h, p, o in entries]
+    plain, own = Forgetful(made, [tables()]), Group(made, [tables()])
+    later = sorted(own.dag.frontier())
+    want = {h: plain.void(h, later) is not None for h, _, _ in entries}
+    asked = list(want)
+    for _ in range(3):
+        rng.shuffle(asked)
+        fresh = Group(made, [tables()])
+        assert {h: fresh.void(h, later) is not None for h in asked} == want
+    assert {h: r is not None for h, r in own.verdicts().items()} == want
+
+
 def test_bundle_is_all_or_nothing():
     g = group([GENESIS, ("1", ["0"], [op("orders", "insert", "o", customer="x"), op("lines", "insert", "l", order="o")]), ("2", ["1"], [op("lines", "insert", "m", order="o"), op("docs", "insert", "e", "eve", body="x")])])
     v = g.verdicts()
