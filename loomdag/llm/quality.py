@@ -1,13 +1,16 @@
 """Quality rules with adaptive thresholds, in DataFrame functions.
 
 Two fixed rules come first (``base_failed``). For the rest no cutoff is fixed: for
-every (language, source) a mergeable quantile sketch holds the quartiles of each
-ratio, and a document is rejected when a ratio lies beyond the far fence of its
-group, ``q3 + FENCE * spread`` (and ``q1 - FENCE * spread`` where both sides count).
-The spread is the distance of the quartiles, at least the rule's ``least``, so that a
-group of like documents doesn't reject a document for a trifle. Groups of under
-``LEAST_GROUP`` documents take the sketch of their language, and languages of as few
-that of the corpus.
+every (language, source) a mergeable quantile sketch holds the lower quartile and the
+median of the logarithm of each ratio. Counts that may be zero enter the sketch half a
+count larger, so that a group where most documents have none still has a spread, by the
+lengths of its documents; the document's own ratio is compared as it is. The distance of the two quantiles is the group's own spread; it is
+taken below the median, where no junk reaches. A document is rejected when a ratio lies further above its group's median (or, for
+word length, below it) than the rule's number of such spreads. A group of fewer than
+``LEAST_GROUP`` documents takes the sketch of its language, a language of as few that of
+the corpus, and a corpus of as few rejects nothing.
+``LEAST_SPREAD`` only keeps a group of equal values from rejecting its own half; real
+groups lie far above it.
 
 Defined results: a null text has no words and fails; a null language or source is a
 group of its own; empty texts fail; an empty table gives no rows; very long texts are
@@ -24,20 +27,20 @@ from loomdag.llm.common import opened, sealed, write_table
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
-FENCE = 3.0
-LEAST_GROUP = 200
+LEAST_GROUP = 100
+LEAST_SPREAD = 0.005
 #: Relative rank error of a sketch is 1 / ACCURACY.
 ACCURACY = 1000
 
 #: Fences of more groups than this are joined by a shuffle, not broadcast.
 BROADCAST_GROUPS = 100_000
 
-#: Ratio -> (SQL, least spread, whether small values are rejected too).
+#: Rule -> (count, of what, added to the count in sketches, how many spreads are accepted, whether small values are rejected too).
 RULES = {
-    "word_length": ("word_chars / n_words", 1.0, True),
-    "symbols_per_word": ("n_symbols / n_words", 0.05, False),
-    "repeated_lines": ("n_dup_lines / greatest(n_lines, 1)", 0.15, False),
-    "repeated_words": ("n_repeat_words / n_words", 0.15, False),
+    "word_length": ("word_chars", "n_words", 0.0, 12.0, True),
+    "symbols_per_word": ("n_symbols", "n_words", 0.5, 10.0, False),
+    "repeated_lines": ("n_dup_lines", "greatest(n_lines, 1)", 0.5, 3.0, False),
+    "repeated_words": ("n_repeat_words", "n_words", 0.5, 8.0, False),
 }
 
 
@@ -105,35 +108,31 @@ def base_failed() -> Column:
 
 
 def fences(features: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """Per (language, source): the accepted range of every ratio, from merged sketches.
+    """Per (language, source): the accepted range of every ratio's logarithm, from merged sketches.
 
-    One aggregation gives the sketches of the groups, the languages and the corpus;
-    its result has a row for each group.
+    __lang, __source, and per rule __max_, __min_ (where small values count) and __of_, the
+    level (group, lang, all, none) whose sketch decides. One row for each group.
     """
-    ratios = features.filter(~base_failed()).select(
-        F.col(lang).alias("__lang"), F.col(source).alias("__source"), *[F.expr(sql).alias(f"__{name}") for name, (sql, _, _) in RULES.items()]
-    )
-    sketches = [F.percentile_approx(f"__{name}", [0.25, 0.75], ACCURACY).alias(f"__{name}") for name in RULES]
-    by = {
-        depth: ratios.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *sketches)
-        for depth, keys in (("group", ["__lang", "__source"]), ("lang", ["__lang"]), ("all", []))
-    }
-    narrow = {k: v.select(*[c for c in ("__lang", "__source") if c in v.columns], F.struct("__n", *[f"__{r}" for r in RULES]).alias(k)) for k, v in by.items()}
-    whole = narrow["all"].first()["all"]
-    lang_rows = narrow["lang"].withColumnRenamed("__lang", "__of_lang")
-    joined = narrow["group"].join(lang_rows, F.col("__lang").eqNullSafe(F.col("__of_lang")), "left")
+    logs = {name: F.expr(f"ln(({count} + {more}) / {of})") for name, (count, of, more, _, _) in RULES.items()}
+    ratios = features.filter(~base_failed()).select(F.col(lang).alias("__lang"), F.col(source).alias("__source"), *[x.alias(f"__{name}") for name, x in logs.items()])
+    sketches = [
+        F.struct(F.count(f"__{name}").alias("n"), F.percentile_approx(f"__{name}", [0.25, 0.5], ACCURACY).alias("q")).alias(name) for name in RULES
+    ]
+    group = ratios.groupBy("__lang", "__source").agg(F.struct(*sketches).alias("group"))
+    langs = ratios.groupBy(F.col("__lang").alias("__of_lang")).agg(F.struct(*sketches).alias("lang"))
+    whole = ratios.agg(*sketches).first()
+    joined = group.join(langs, F.col("__lang").eqNullSafe(F.col("__of_lang")), "left")
     bounds = []
-    for name, (_, least, both) in RULES.items():
-        quartiles = whole[f"__{name}"] or [0.0, 0.0]
-        q = (
-            F.when(F.col("group.__n") >= LEAST_GROUP, F.col(f"group.__{name}"))
-            .when(F.col("lang.__n") >= LEAST_GROUP, F.col(f"lang.__{name}"))
-            .otherwise(F.array(*[F.lit(float(x)) for x in quartiles]))
-        )
-        spread = F.greatest(q[1] - q[0], F.lit(least)) * FENCE
-        bounds.append((q[1] + spread).alias(f"__max_{name}"))
+    for name, (_, _, _, most, both) in RULES.items():
+        own = whole[name]
+        level = F.when(F.col(f"group.{name}.n") >= LEAST_GROUP, "group").when(F.col(f"lang.{name}.n") >= LEAST_GROUP, "lang")
+        level = level.otherwise("all" if own["n"] >= LEAST_GROUP else "none")
+        corpus = F.array(*[F.lit(float(x)) for x in own["q"]]) if own["n"] >= LEAST_GROUP else F.lit(None).cast("array<double>")
+        q = F.when(level == "group", F.col(f"group.{name}.q")).when(level == "lang", F.col(f"lang.{name}.q")).otherwise(corpus)
+        reach = F.greatest(q[1] - q[0], F.lit(LEAST_SPREAD)) * most
+        bounds += [(q[1] + reach).alias(f"__max_{name}"), level.alias(f"__of_{name}")]
         if both:
-            bounds.append((q[0] - spread).alias(f"__min_{name}"))
+            bounds.append((q[1] - reach).alias(f"__min_{name}"))
     return joined.select(F.col("__lang"), F.col("__source"), *bounds)
 
 
@@ -143,10 +142,11 @@ def judge(features: DataFrame, lang: str = "lang", source: str = "source") -> Da
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     inside = F.lit(True)
-    for name, (sql, _, both) in RULES.items():
-        inside = inside & (F.expr(sql) <= F.coalesce(F.col(f"__max_{name}"), F.lit(float("inf"))))
+    for name, (count, of, _, _, both) in RULES.items():
+        x = F.expr(f"case when {count} > 0 then ln({count} / {of}) end")
+        inside = inside & F.coalesce(x <= F.col(f"__max_{name}"), F.lit(True))
         if both:
-            inside = inside & (F.expr(sql) >= F.coalesce(F.col(f"__min_{name}"), F.lit(float("-inf"))))
+            inside = inside & F.coalesce(x >= F.col(f"__min_{name}"), F.lit(True))
     same = F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source"))
     return features.join(limits, same, "left").select(
         *features.columns,

@@ -90,12 +90,69 @@ def test_quality(docs, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
-def test_quality_rejects_outliers(spark):
+def brute_kept(rows):
+    """doc_id -> kept, by exact quantiles of each (language, source), language and corpus."""
+    import math
+
+    ratio = lambda f, k, more: (
+        f[1] / f[0], (f[2] + more) / f[0], (f[3] + more) / max(f[5], 1), (f[4] + more) / f[0])[k]
+    reach, found = (12.0, 10.0, 3.0, 8.0), {}
+    for i, t, lang, source in rows:
+        lines = [x for x in (t or "").split("\n") if x.strip("\x20\t\n\x0b\x0c\r")]
+        found[i] = (*brute_features(t), len(lines)), lang, source
+    good = {i for i, (f, *_) in found.items() if f[0] >= 50 and 2 * f[4] <= f[0]}
+    kept = {}
+    for i, (f, lang, source) in found.items():
+        kept[i] = i in good
+        for k in range(4):
+            for level in ((lang, source), (lang,), ()):
+                own = sorted(math.log(ratio(g, k, 0.5)) for j, (g, *where) in found.items() if j in good and tuple(where[: len(level)]) == level)
+                if len(own) >= quality.LEAST_GROUP:
+                    break
+            else:
+                continue
+            low, mid = (own[math.ceil(p * len(own)) - 1] for p in (0.25, 0.5))
+            far = max(mid - low, quality.LEAST_SPREAD) * reach[k]
+            if kept[i] and ratio(f, k, 0) > 0:
+                x = math.log(ratio(f, k, 0))
+                kept[i] = x <= mid + far + 1e-12 and (k > 0 or x >= mid - far - 1e-12)
+    return kept
+
+
+def quality_corpus():
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(100)), "en", "s") for i in range(300)]
-    rows += [(1000, " ".join(f"{rng.choice(WORDS)}###{rng.randrange(99)}" for _ in range(100)), "en", "s")]
-    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert not got.pop(1000) and all(got.values())
+    word = lambda longer: rng.choice(WORDS) + "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, longer)))
+    rows, i = [], 0
+    for lang, source, n, longer, symbols, lines in (("en", "a", 150, 4, 0.0, 3), ("en", "b", 150, 9, 0.3, 12), ("en", "c", 30, 4, 0.05, 5), (None, "a", 40, 6, 0.0, 1), ("de", None, 120, 5, 0.1, 8)):
+        for _ in range(n):
+            words = [word(longer) + ("#" if rng.random() < symbols else "") for _ in range(rng.randrange(55, 400))]
+            cuts = [" ".join(words[k::lines]) for k in range(lines)]
+            rows.append((i, "\n".join(cuts), lang, source))
+            i += 1
+        normal = " ".join(word(longer) for _ in range(120))
+        for odd in (normal.replace(" ", "### "), " ".join(word(longer) * 4 for _ in range(90)), (normal + "\n") * 2, "\n".join([normal, *["same line"] * 40]), normal + " " + " ".join(normal.split()[:50])):
+            rows.append((i, odd, lang, source))
+            i += 1
+    return [*rows, (i, None, "en", "a"), (i + 1, "short", "xx", "a")]
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    rows = quality_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(df).collect()}
+    want = brute_kept(rows)
+    assert got == want and 300 < sum(want.values()) < len(rows) - 20
+
+
+def test_quality_fences_come_from_the_groups(spark):
+    df = spark.createDataFrame(quality_corpus(), "doc_id long, text string, lang string, source string")
+    found = {(r["__lang"], r["__source"]): r for r in quality.fences(quality.quality_rules(df)).collect()}
+    for rule in quality.RULES:
+        a, b, c, none = (found["en", "a"], found["en", "b"], found["en", "c"], found[None, "a"])
+        assert a[f"__of_{rule}"] == b[f"__of_{rule}"] == "group" and a[f"__max_{rule}"] != b[f"__max_{rule}"]
+        assert c[f"__of_{rule}"] == "lang" and none[f"__of_{rule}"] == "all"
+    clash = df.selectExpr("*", "1 as n_words", "'x' as kept", "2 as __max_word_length")
+    assert quality.keep_good(clash).columns == clash.columns and quality.keep_good(clash).count() == quality.keep_good(df).count()
 
 
 def test_secrets(spark, empty):
