@@ -24,7 +24,8 @@ emits its changes, in blocks of rows with the steps that each row has seen; chan
 averaged over the tasks by a shuffle, by those.
 
 Scoring adds log10(count + 1) over a text's tokens: for frequent words in the task that
-reads the text; for all others by a join on the word's hash, whose keys are rare by choice.
+reads the text; for all others by a join on the word's hash, whose keys are rare by choice,
+in training and held-out texts alike.
 
 Defined results: a null or empty text is the end token alone; a null key has the text
 '' for its fold; ties in frequency fall to the smaller hash; without training texts every
@@ -305,51 +306,54 @@ def _binary_rows(rows: np.ndarray) -> pa.Array:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """h, k, n: how often each word (by its hash, with its class) and the end occur in ``texts``."""
+    """h, k, n, m: how often each word (by its hash, with its class) and the end occur in
+    ``texts`` (text, held) that aren't held out, and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        kept: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            hashes, tails, n = (np.concatenate(x) for x in zip(*held))
+        def merged() -> tuple[np.ndarray, ...]:
+            hashes, tails, n, m = (np.concatenate(x) for x in zip(*kept))
             coded = pa.array(hashes).dictionary_encode()
             at = coded.indices.to_numpy()
             words = coded.dictionary.to_numpy()
             kinds = np.empty(len(words), dtype=np.uint8)
             kinds[at] = tails
-            return words, kinds, np.bincount(at, weights=n, minlength=len(words)).astype(np.int64)
+            return words, kinds, *(np.bincount(at, weights=x, minlength=len(words)).astype(np.int64) for x in (n, m))
 
-        def batch_of(words: np.ndarray, kinds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def batch_of(words: np.ndarray, kinds: np.ndarray, n: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
             cls = np.where(words == END, SINGLES, kinds.astype(np.int32) + SINGLES + 1).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(cls), pa.array(n)], names=["h", "k", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(cls), pa.array(n), pa.array(m)], names=["h", "k", "n", "m"])
 
         for batch in batches:
             for lo, hi in _slices(batch.column(0)):
-                hashes, tails, _ = tokens(batch.column(0).slice(lo, hi - lo))
-                held.append((hashes, tails, np.ones(len(hashes), dtype=np.int64)))
+                hashes, tails, sizes = tokens(batch.column(0).slice(lo, hi - lo))
+                learned = ~batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+                kept.append((hashes, tails, np.repeat(learned.astype(np.int64), sizes), np.ones(len(hashes), dtype=np.int64)))
                 size += len(hashes)
                 if size > REMEMBERED:
-                    held[:] = [merged()]
-                    size = len(held[0][0])
+                    kept[:] = [merged()]
+                    size = len(kept[0][0])
                     if size > REMEMBERED // 2:
-                        yield batch_of(*held.pop())
+                        yield batch_of(*kept.pop())
                         size = 0
-        if held:
+        if kept:
             yield batch_of(*merged())
 
-    parts = texts.mapInArrow(run, "h long, k int, n long")
-    return write_table(parts.groupBy("h").agg(F.min("k").alias("k"), F.sum("n").alias("n")), "lm-counts")
+    parts = texts.mapInArrow(run, "h long, k int, n long, m long")
+    return write_table(parts.groupBy("h").agg(F.min("k").alias("k"), F.sum("n").alias("n"), F.sum("m").alias("m")), "lm-counts")
 
 
 def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of at most ``most`` words, by a threshold from a histogram of counts.
+    """Hashes and training counts of at most ``most`` words, those that training and held-out
+    texts have most, by a threshold from a histogram of counts.
 
     Counts are binned exactly up to 4096 and by thousandths of their logarithm above;
     the histogram's size doesn't depend on the data.
     """
-    level = F.when(F.col("n") <= 4096, F.col("n")).otherwise(F.floor(F.log("n") * 1000).cast("long"))
-    bins = counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
+    level = F.when(F.col("m") <= 4096, F.col("m")).otherwise(F.floor(F.log("m") * 1000).cast("long"))
+    bins = counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("words"), F.min("m").alias("least")).collect()
     taken, least = 0, None
     for r in sorted(bins, key=lambda r: -r["least"]):
         taken += r["words"]
@@ -358,7 +362,7 @@ def _most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
         least = r["least"]
     if least is None:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    found = counts.filter(F.col("n") >= least).select("h", "n").toArrow()
+    found = counts.filter(F.col("m") >= least).select("h", "n").toArrow()
     h, n = (found.column(c).to_numpy() for c in ("h", "n"))
     order = np.lexsort((h.view(np.uint64), -n))
     return h.view(np.uint64)[order], n[order]
@@ -425,13 +429,15 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
     base_score (add-one unigrams) and score (the model), both log10."""
     spark = docs.sparkSession
     turn = F.crc32(F.concat(F.lit("round "), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")) % rounds
-    learned = docs.filter(fold(F.col(key)) != HELD).select(F.col(text).alias("text"), turn.alias("turn"))
-    counts = count_words(learned.select("text"))
+    held = fold(F.col(key)) == HELD
+    learned = docs.filter(~held).select(F.col(text).alias("text"), turn.alias("turn"))
+    every = count_words(docs.select(F.col(text).alias("text"), held.alias("held")))
+    counts = every.filter("n > 0")
     totals = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, v = int(totals[0] or 0), int(totals[1])
     rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << (v // WORDS_PER_ROW).bit_length()))
-    frequent, often = _most_frequent(counts, FREQUENT)
-    singles = frequent[frequent != END][:SINGLES]
+    frequent, often = _most_frequent(every, FREQUENT)
+    singles = frequent[(frequent != END) & (often > 0)][:SINGLES]
     # an unseen word for every cell, and none for a class of one word
     mass, cells = np.ones(CLASSES), np.ones((CLASSES, WIDTH))
     top = [int(h) for h in singles.view(np.int64)]
@@ -464,14 +470,14 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(sizes.astype(np.int64)),
-                        pa.array(np.add.reduceat((at >= 0).astype(np.int64), first)),
+                        pa.array(np.add.reduceat((logs > 0).astype(np.int64), first)),
                         pa.array(np.add.reduceat(logs, first)), pa.array(np.add.reduceat(part, first)),
                         pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes[rare].view(np.int64))),
                     ],
                     names=["__row", "__key", "__held", "__tokens", "__known", "__logs", "__model", "__rare"],
                 )
 
-    given = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), (fold(F.col(key)) == HELD).alias("__held"), F.col(text).alias("__text"))
+    given = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), held.alias("__held"), F.col(text).alias("__text"))
     kind = given.schema["__key"].dataType.simpleString()
     read = write_table(
         given.mapInArrow(run, f"__row long, __key {kind}, __held boolean, __tokens long, __known long, __logs double, __model double, __rare array<long>"), "lm-read"
