@@ -11,11 +11,12 @@ ORACLES = {
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
     "op5_chat_format": """
-        WITH heads AS (SELECT conv_id, min(coalesce(text, '')) AS head FROM conversations WHERE turn = 0 GROUP BY conv_id),
+        WITH starts AS (SELECT conv_id, min(turn) AS turn FROM conversations GROUP BY conv_id),
+        heads AS (SELECT conv_id, min(coalesce(text, '')) AS head FROM conversations JOIN starts USING (conv_id, turn) GROUP BY conv_id),
         placed AS (SELECT conv_id, row_number() OVER (ORDER BY head, conv_id) - 1 AS pos FROM heads),
         pairs AS (
             SELECT pos // 2 AS pair_id, max(conv_id) FILTER (pos % 2 = 0) AS chosen_id, max(conv_id) FILTER (pos % 2 = 1) AS rejected_id
-            FROM placed GROUP BY pos // 2 HAVING rejected_id IS NOT NULL),
+            FROM placed GROUP BY pos // 2),
         sides AS (
             SELECT pair_id, chosen_id AS conv_id, 'chosen' AS side FROM pairs
             UNION ALL SELECT pair_id, rejected_id, 'rejected' FROM pairs),

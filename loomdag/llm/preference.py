@@ -14,7 +14,8 @@ Defined results: a null role or text counts as empty; a null turn number comes f
 turns of one conversation with the same number form one turn with all their texts,
 compared whatever their order and all rendered; a pair with a missing conversation has
 an empty prefix and the other side's completion; equal conversations give a prompt and
-no completion; a conversation may be in many pairs; no pairs give no rows.
+no completion; a conversation may be in many pairs; no pairs give no rows; other columns
+of ``turns`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -73,14 +74,16 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 def neighbour_pairs(turns: DataFrame) -> DataFrame:
     """Pairs of conversations that are neighbours in the order of (first turn's text, id).
 
-    Conversations that begin alike stand together, so as many as possible are paired
-    with one of the same prompt; each is in one pair at most. ``chosen_id`` is the
-    first of the two, ``pair_id`` the number of the pair.
+    The first turn is the one of the least number (a null number comes first), whatever
+    that is. Conversations that begin alike stand together; each is in one pair, and of an
+    odd number the last has no partner: its ``rejected_id`` is null. ``chosen_id`` is the
+    first of the two, ``pair_id`` the number of the pair. Turns without a ``conv_id``
+    belong to no conversation.
     """
-    heads = turns.filter("turn = 0").groupBy("conv_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("__head"))
+    first = F.min(F.struct(F.coalesce("turn", F.lit(FIRST)).alias("n"), F.coalesce("text", F.lit("")).alias("t")))
+    heads = turns.filter("conv_id is not null").groupBy("conv_id").agg(first.alias("__first")).select("conv_id", F.col("__first.t").alias("__head"))
     placed = global_prefix(heads, ["__head", "conv_id"], [], "preference-order")
-    pairs = placed.groupBy(F.expr("__index div 2").alias("pair_id")).agg(
+    return placed.groupBy(F.expr("__index div 2").alias("pair_id")).agg(
         F.max(F.when(F.col("__index") % 2 == 0, F.col("conv_id"))).alias("chosen_id"),
         F.max(F.when(F.col("__index") % 2 == 1, F.col("conv_id"))).alias("rejected_id"),
     )
-    return pairs.filter("rejected_id is not null")

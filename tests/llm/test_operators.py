@@ -377,7 +377,13 @@ def test_preference(spark):
     assert [x[0] for x in got[0, "prompt"]] == [0, 1, 2] and not any(x[2] for x in got[0, "prompt"])
     assert got[0, "chosen"] == [(3, "<|assistant|>\ngood<|end|>\n", True)] and got[0, "rejected"] == [(3, "<|assistant|>\n<|end|>\n", True)]
     assert len(got[1, "prompt"]) == 4 and (1, "chosen") not in got and got[2, "chosen"] == [(0, "<||>\nhi<|end|>\n", False)]
-    assert sorted((r["chosen_id"], r["rejected_id"]) for r in preference.neighbour_pairs(t).collect()) == [(1, 2)]
+    assert [(r["chosen_id"], r["rejected_id"]) for r in preference.neighbour_pairs(t).orderBy("pair_id").collect()] == [(1, 2), (3, None)]
+    late = spark.createDataFrame([(7, 5, "user", "b"), (8, None, "user", "a"), (8, 0, "user", "z"), (9, 3, "user", "c" * 300_000), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    late = late.selectExpr("*", "1 as pair_id", "'x' as __of", "'y' as rendered")
+    assert [(r["chosen_id"], r["rejected_id"]) for r in preference.neighbour_pairs(late).orderBy("pair_id").collect()] == [(8, 7), (9, None)]
+    whole = preference.format_pairs(late, preference.neighbour_pairs(late)).collect()
+    assert {(r["pair_id"], r["part"], r["conv_id"]) for r in whole} == {(0, "chosen", 8), (0, "rejected", 7), (1, "chosen", 9)} and len(whole) == 4
+    assert preference.neighbour_pairs(t.limit(0)).count() == preference.format_pairs(t.limit(0), pairs).count() == 0
 
 
 def test_warc(spark):
