@@ -39,8 +39,9 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_exact_dedup(docs, empty):
-    got = exact_dedup.exact_dedup(docs).collect()
+@pytest.mark.parametrize("limits", [{}, {"hot": 3}, {"most": 1024}, {"most": 40_000, "hot": 2, "bits_per_row": 2000}])
+def test_exact_dedup(docs, empty, limits):
+    got = exact_dedup.exact_dedup(docs, **limits).collect()
     groups = Counter(t or "" for _, t, *_ in corpus())
     best = {}
     for k, t, *_ in corpus():
@@ -48,9 +49,28 @@ def test_exact_dedup(docs, empty):
     by_sha = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
     assert len(got) == len(corpus()) and sum(r["kept"] for r in got) == len(groups)
     assert all(r["group_size"] == groups[by_sha[r["text_sha256"]]] and r["keep_id"] == best[by_sha[r["text_sha256"]]] for r in got)
-    left = exact_dedup.drop_duplicates(docs)
-    assert left.columns == docs.columns and Counter(r["text"] or "" for r in left.collect()) == dict.fromkeys(groups, 1)
-    assert exact_dedup.exact_dedup(empty).count() == exact_dedup.drop_duplicates(empty).count() == 0
+    left = exact_dedup.drop_duplicates(docs, **limits)
+    rows = left.collect()
+    assert left.columns == docs.columns and Counter(r["text"] or "" for r in rows) == dict.fromkeys(groups, 1)
+    assert all(r["doc_id"] == best[r["text"] or ""] for r in rows)
+    assert exact_dedup.exact_dedup(empty, **limits).count() == exact_dedup.drop_duplicates(empty, **limits).count() == 0
+
+
+def test_filter_misses_nothing(spark):
+    rows = spark.range(200_000).selectExpr("xxhash64(id % 150000) as __hash", "id % 150000 as id", "id % 150000 < 50000 as twice")
+    tested = exact_dedup.Filter(rows.select("__hash"), 2).test(rows)
+    assert tested.filter("twice and not __maybe").count() == 0
+    assert tested.filter("not twice and __maybe").count() < 100_000 * 0.05
+
+
+def test_dedup_texts_stay_where_they_are(docs):
+    """Rows that share no bit with one that goes reach the result without an exchange."""
+    lines = exact_dedup.drop_duplicates(docs)._jdf.queryExecution().executedPlan().toString().split("\n")
+    top = next(i for i, line in enumerate(lines) if line.lstrip(" +-").startswith("Union"))
+    depth = len(lines[top]) - len(lines[top].lstrip(" +-")) + 1
+    straight = lines[top + 1 : next(i for i in range(top + 1, len(lines)) if lines[i][depth - 1 : depth + 1] == "+-")]
+    assert any("BroadcastHashJoin" in x for x in straight) and not any("hashpartitioning" in x for x in straight)
+    assert any("hashpartitioning" in x for x in lines[top + 1 + len(straight) :])
 
 
 @pytest.mark.parametrize("shards", [1, 5, 80])
