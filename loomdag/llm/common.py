@@ -37,6 +37,18 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+#: A key that so many rows share is met by a broadcast: there is at most one such key in HOT rows.
+HOT = 100_000
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, on: Column, size: str, hot: int = HOT) -> DataFrame:
+    """``rows`` joined with their one row of ``groups`` by the equality ``on``, whatever a key's
+    share of the rows: groups whose column ``size`` is ``hot`` or more are broadcast, and
+    their rows stay where they are; the others meet by a shuffle."""
+    large = F.broadcast(groups.filter(F.col(size) >= hot))
+    return rows.join(large, on).unionByName(rows.join(large, on, "left_anti").join(groups.filter(F.col(size) < hot), on))
+
+
 def without(docs: DataFrame, key: str, text: str, prints: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose key and text hash are in ``gone`` (__key, __hash); of
     rows that repeat both, one stays. ``prints`` has __key and __hash of every row.

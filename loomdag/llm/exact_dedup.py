@@ -23,13 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import opened, sealed, write_table
+from loomdag.llm.common import HOT, join_hot, opened, sealed, write_table
 
 BITS_PER_ROW = 32
 MOST_BITS = 1 << 29
 #: Fixed value: the bits of one bitmap of the engine's bitmap functions.
 BITMAP = 32_768
-HOT = 100_000
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,10 +76,7 @@ def _judge(prints: DataFrame, hot: int, **limits: int) -> tuple[DataFrame, DataF
         ),
         "dedup-groups",
     )
-    # a large group's rows meet it where they are, the others by a shuffle
-    same = F.col("__sha") == F.col("__group")
-    large = F.broadcast(groups.filter(F.col("__size") >= hot))
-    met = maybe.join(large, same).unionByName(maybe.join(large, same, "left_anti").join(groups.filter(F.col("__size") < hot), same))
+    met = join_hot(maybe, groups, F.col("__sha") == F.col("__group"), "__size", hot)
     judged = met.select(
         "__row", "__key", "__hash", "__sha", F.col("__best.__key").alias("__keep"), "__size",
         (F.col("__row") == F.col("__best.__row")).alias("__kept"),

@@ -5,37 +5,45 @@ traversed together: their children are paired, a pair of unlike children costs o
 differing bit, and a pair that has spent more than the budget is left. What remains
 at the leaves are all pairs within the budget.
 
-The upper trie is cut into nodes of at most ``BLOCK`` fingerprints, from counts alone;
-its node pairs are found on the driver, which sees node prefixes and counts and never
-a fingerprint. Every remaining node pair goes with one of its nodes to a group of the executors, which
-traverse the two subtries as ranges of a sorted array, in chunks of bounded size. A group emits
-only links that join two of its components, so a group of like copies of any size gives
-fewer links than it has fingerprints. The links' components are then found by
+The upper trie is cut into nodes of at most ``BLOCK`` fingerprints, from counts alone.
+Two nodes may hold a pair only if the bits they share in depth differ in at most the
+budget; such node pairs are found by a join of the nodes' prefixes with up to that many of
+their bits turned. All of it is a DataFrame: the driver sees depths, never a node or a
+fingerprint. Each node pair belongs to one of its nodes; a task has one node and up to
+``PARTNERS`` others, sorts their fingerprints and traverses the subtries as ranges of that
+array, in chunks of bounded size, so what a task holds doesn't grow with the input. A task
+emits only links that join two of its components, so a group of like copies of any size
+gives fewer links than it has fingerprints. The links' components are then found by
 large-star and small-star steps over DataFrames.
 
 Equal fingerprints are one leaf, so copies never multiply. Defined results: a null or
 empty text has no words and fingerprint 0, and is linked like any other; fewer words
 than a shingle form one shingle; repeated shingles count as often as they occur; an
-empty table gives no rows; rows that repeat a key share its fate by their own text.
+empty table gives no rows; rows that repeat a key, or have none, go by their own text;
+other columns are left alone, whatever their names; texts are read whole.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import text_hash, without, write_table
+from loomdag.llm.common import join_hot, text_hash, without, write_table
 
 SEED = 42
 #: Most fingerprints under one node of the upper trie.
 BLOCK = 65_536
-#: Most node pairs that a task holds in one chunk.
+#: Nodes that a task compares with its own.
+PARTNERS = 8
+#: Most range pairs that a task holds in one chunk.
 CHUNK = 1 << 18
 #: Hashes that are counted at a time.
 SLAB = 1 << 16
@@ -76,63 +84,57 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 # -- the upper trie -----------------------------------------------------------
 
 
-def _upper_nodes(prints: DataFrame, block: int) -> list[tuple[int, int]]:
-    """Nodes (prefix, depth) that tile the trie, each of at most ``block`` fingerprints.
+def _mask(depth: int) -> int:
+    """The upper ``depth`` bits, as a signed long."""
+    return -(1 << (64 - depth)) if depth else 0
 
-    The counts of 2^16 prefixes at most come to the driver at a time: those of one
-    level under the nodes that are still too large.
+
+def upper_nodes(prints: DataFrame, block: int) -> DataFrame:
+    """low, depth of nodes that tile the trie, each of at most ``block`` fingerprints.
+
+    Counts are taken at 16 bits more at a time, under the nodes that are still too large;
+    sums over the levels between give the highest nodes that are small enough.
     """
-    done: list[tuple[int, int]] = []
-    step = 8
-    large, depth = [(0, 0)], 0
-    while large:
-        depth += step
-        shift = 64 - depth
-        prefix = F.expr(f"shiftrightunsigned(__print, {shift})") if shift else F.col("__print")
-        parent = F.expr(f"shiftrightunsigned(__print, {shift + step})") if depth > step else F.lit(0).cast("long")
-        want = [np.int64(np.uint64(p)).item() for p, _ in large]
-        rows = prints.filter(parent.isin(want)) if depth > step else prints
-        counts = {int(r[0]) & (2**64 - 1): r[1] for r in rows.groupBy(prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        still: list[tuple[int, int]] = []
-
-        def divide(p: int, d: int, counts: dict[int, int] = counts, still: list = still) -> None:
-            """Split the node until it is small enough or this level's counts end."""
-            under = 1 << (depth - d)
-            n = sum(counts.get(p * under + i, 0) for i in range(under))
-            if n <= block or depth == d == 64:
-                done.append((p, d))
-            elif d == depth:
-                still.append((p, d))
-            else:
-                divide(2 * p, d + 1)
-                divide(2 * p + 1, d + 1)
-
-        for p, d in large:
-            divide(p, d)
-        large = still
-    return done
-
-
-def _node_pairs(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int]]:
-    """Pairs (i <= j) of tiling nodes whose common bits differ in at most ``budget``."""
-    leaf = {n: i for i, n in enumerate(nodes)}
-    found: list[tuple[int, int]] = []
-    stack = [((0, 0), (0, 0), 0)]
-    while stack:
-        a, b, spent = stack.pop()
-        if a in leaf and b in leaf:
-            found.append((min(leaf[a], leaf[b]), max(leaf[a], leaf[b])))
-            continue
-        halves = lambda n: [n] if n in leaf else [(2 * n[0], n[1] + 1), (2 * n[0] + 1, n[1] + 1)]
-        for x in halves(a):
-            for y in halves(b):
-                if a == b and x > y:
-                    continue
-                common = min(x[1], y[1])
-                cost = ((x[0] >> (x[1] - common)) ^ (y[0] >> (y[1] - common))).bit_count()
-                if cost <= budget:
-                    stack.append((x, y, cost))
-    return found
+    levels, under = 16, None
+    found: list[DataFrame] = []
+    for depth in range(levels, 65, levels):
+        prefix = F.shiftrightunsigned("__print", 64 - depth) if depth < 64 else F.col("__print")
+        rows = prints.select(prefix.alias("p"))
+        if under is not None:
+            rows = rows.join(under, F.shiftrightunsigned("p", levels) == F.col("u"), "left_semi")
+        counts = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+        up = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("k")
+        every = counts.select("p", "n", up).groupBy(F.expr("shiftrightunsigned(p, k)").alias("p"), (depth - F.col("k")).alias("d")).agg(F.sum("n").alias("n"))
+        every = write_table(every, "trie-counts")
+        large = every.filter((F.col("n") > block) & (F.col("d") < 64))
+        small = every.filter((F.col("n") <= block) | (F.col("d") == 64))
+        parent = large.select(F.col("p").alias("up"), (F.col("d") + 1).alias("at"))
+        below = small.filter("d > 0").join(parent, F.expr("shiftrightunsigned(p, 1) = up and d = at"), "left_semi")
+        found.append(below.unionByName(small.filter("d = 0")))
+        under = large.filter(F.col("d") == depth).select(F.col("p").alias("u"))
+        if under.isEmpty():
+            break
+    tiles = functools.reduce(DataFrame.unionByName, found)
+    return write_table(tiles.select(F.expr("shiftleft(p, 64 - d)").alias("low"), F.col("d").alias("depth")), "trie-nodes")
+
+
+def node_pairs(nodes: DataFrame, budget: int) -> DataFrame:
+    """a, b: lows of nodes whose common bits differ in at most ``budget``; a pair once, a node
+    with itself too. The deeper node's prefix, cut to the other's depth, has up to ``budget``
+    bits turned and meets the other by equality."""
+    spark = nodes.sparkSession
+    depths = sorted(r[0] for r in nodes.select("depth").distinct().collect())
+    turned = [
+        (d, sum(1 << b for b in some) - (1 << 64 if 63 in some else 0))
+        for d in depths for n in range(min(budget, d) + 1) for some in combinations(range(64 - d, 64), n)
+    ]
+    turns = spark.createDataFrame(turned, "at int, turn long")
+    masks = spark.createDataFrame([(d, _mask(d)) for d in depths], "level int, mask long")
+    near = nodes.join(F.broadcast(masks), F.col("level") <= F.col("depth")).join(F.broadcast(turns), F.col("at") == F.col("level"))
+    near = near.select(F.col("low").alias("a"), F.col("depth").alias("deep"), F.col("level"), F.expr("(low & mask) ^ turn").alias("other"))
+    other = nodes.select(F.col("low").alias("b"), F.col("depth").alias("flat"))
+    met = near.join(other, F.expr("other = b and level = flat"))
+    return met.filter("flat < deep or a <= b").select("a", "b")
 
 
 # -- the subtries -------------------------------------------------------------
@@ -232,49 +234,42 @@ def _traverse(prints: np.ndarray, left: tuple[int, int], right: tuple[int, int],
 def links(prints: DataFrame, budget: int, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect all pairs of distinct __print within ``budget`` bits.
 
-    Not all pairs: per group of the executors a spanning forest of them.
+    Not all pairs: per task a spanning forest of them.
     """
-    nodes = sorted(_upper_nodes(prints, block), key=lambda n: n[0] << (64 - n[1]))
-    pairs = _node_pairs(nodes, budget)
-    spark = prints.sparkSession
-    lows = np.array([p << (64 - d) for p, d in nodes], dtype=np.uint64)
+    nodes = upper_nodes(prints, block)
+    depths = [r[0] for r in nodes.select("depth").distinct().collect()]
+    if not depths:
+        return prints.sparkSession.createDataFrame([], "a long, b long")
     # a pair is worked on with one of its nodes, in turn, so that each node is copied to half its partners
-    tasks: list[list[int]] = [[] for _ in nodes]
-    work: dict[int, list[tuple[int, int]]] = {}
-    for i, j in pairs:
-        owner = i if (i + j) % 2 == 0 else j
-        work.setdefault(owner, []).append((i, j))
-        for n in {i, j, owner}:
-            if owner not in tasks[n]:
-                tasks[n].append(owner)
-    shared = spark.sparkContext.broadcast((lows, tasks, work))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows, tasks, _ = shared.value
-        lists = pa.array(tasks, type=pa.list_(pa.int32()))
-        for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            node = pa.array(np.searchsorted(lows, fp, side="right") - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists.take(node)], names=["__print", "__tasks"])
-
-    dealt = prints.select("__print").mapInArrow(deal, "__print long, __tasks array<int>")
-    dealt = dealt.select("__print", F.explode("__tasks").alias("__task"))
+    turn = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0
+    pairs = node_pairs(nodes, budget).select(F.when(turn, F.col("a")).otherwise(F.col("b")).alias("owner"), F.when(turn, F.col("b")).otherwise(F.col("a")).alias("other"))
+    place = F.row_number().over(Window.partitionBy("owner").orderBy("other")) - 1
+    work = write_table(pairs.select("owner", "other", F.floor(place / PARTNERS).cast("int").alias("part")), "trie-work")
+    # a member is a node in a task: the owner, or one that is compared with it
+    own = work.groupBy("owner", "part").agg(F.bool_or(F.col("owner") == F.col("other")).alias("own"))
+    members = own.select(F.col("owner").alias("node"), "owner", "part", "own").unionByName(
+        work.filter("owner != other").select(F.col("other").alias("node"), "owner", "part", F.lit(False).alias("own"))
+    )
+    lows = F.array(*[F.struct(F.lit(d).alias("at"), F.col("__print").bitwiseAND(F.lit(_mask(d)).cast("long")).alias("of")) for d in depths])
+    placed = prints.select("__print", F.explode(lows).alias("x")).join(nodes, F.expr("x.of = low and x.at = depth")).select("__print", "low")
+    dealt = placed.join(members, F.col("low") == F.col("node")).select("__print", "node", "owner", "part", "own")
 
     def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lows, _, work = shared.value
         whole = np.sort(pdf["__print"].to_numpy().view(np.uint64))
-        edges = np.append(np.searchsorted(whole, lows), len(whole))
+        nodes = np.unique(pdf["node"].to_numpy().view(np.uint64))
+        edges = np.append(np.searchsorted(whole, nodes), len(whole)).tolist()
+        mine = int(np.searchsorted(nodes, np.uint64(int(key[0]) % (1 << 64))))
         forest = _Forest(len(whole))
         out: list[tuple[int, int]] = []
-        for i, j in work[int(key[0])]:
-            left, right = (int(edges[i]), int(edges[i + 1])), (int(edges[j]), int(edges[j + 1]))
-            if left[0] < left[1] and right[0] < right[1]:
-                for x, y in _traverse(whole, left, right, budget, 0):
+        for k in range(len(nodes)):
+            i, j = min(k, mine), max(k, mine)
+            if k != mine or pdf["own"].any():
+                for x, y in _traverse(whole, (edges[i], edges[i + 1]), (edges[j], edges[j + 1]), budget, 0):
                     out += forest.link(x, y)
         at = np.array(out, dtype=np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": whole[at[:, 0]].view(np.int64), "b": whole[at[:, 1]].view(np.int64)})
 
-    return write_table(dealt.groupBy("__task").applyInPandas(join, "a long, b long"), "simhash-links")
+    return write_table(dealt.groupBy("owner", "part").applyInPandas(join, "a long, b long"), "simhash-links")
 
 
 # -- components ---------------------------------------------------------------
@@ -290,12 +285,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         ends = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = write_table(ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-least")
-        large = ends.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = write_table(ends.groupBy(F.col("u").alias("of")).agg(F.least(F.min("v"), F.col("of")).alias("m"), F.count(F.lit(1)).alias("n")), "star-least")
+        large = join_hot(ends.filter("v > u"), least, F.col("u") == F.col("of"), "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = write_table(large.distinct(), "stars")
-        lower = now.groupBy("u").agg(F.min("v").alias("m"))
-        lower = write_table(lower, "star-least")
-        small = now.join(lower, "u")
+        lower = write_table(now.groupBy(F.col("u").alias("of")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "star-least")
+        small = join_hot(now, lower, F.col("u") == F.col("of"), "n")
         now = write_table(
             small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u != v").distinct(),
             "stars",
@@ -308,23 +302,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, budget: int = 3, block: int = BLOCK) -> DataFrame:
-    """One row per input row: __row, ``key``, __hash, __print, __class (least key of its component)."""
+    """One row per input row: __row, ``key``, __hash, __print, __root (the least fingerprint
+    of its component, as a signed long), __class (the least key of the component)."""
     rows = fingerprints(docs, key, text, width)
-    distinct = write_table(rows.groupBy("__print").agg(F.min("__key").alias("__least")), "simhash-distinct")
+    distinct = write_table(rows.groupBy("__print").agg(F.min("__key").alias("__least"), F.count(F.lit(1)).alias("__n")), "simhash-distinct")
     roots = write_table(components(links(distinct, budget, block)), "simhash-roots")
     classed = distinct.join(roots, F.col("__print") == F.col("node"), "left").select(
-        "__print", "__least", F.coalesce("root", "__print").alias("__root")
+        "__print", "__least", "__n", F.coalesce("root", "__print").alias("__root")
+    )
+    classed = write_table(classed, "simhash-classed")
+    least = write_table(classed.groupBy(F.col("__root").alias("__at")).agg(F.min("__least").alias("__class"), F.count(F.lit(1)).alias("__prints")), "simhash-least")
+    named = join_hot(classed, least, F.col("__root") == F.col("__at"), "__prints")
+    named = write_table(named.select(F.col("__print").alias("__of"), "__root", "__class", "__n"), "simhash-classes")
+    return join_hot(rows, named, F.col("__print") == F.col("__of"), "__n").select(
+        "__row", F.col("__key").alias(key), "__hash", "__print", "__root", "__class"
     )
-    least = write_table(classed.groupBy("__root").agg(F.min("__least").alias("__class")), "simhash-least")
-    named = write_table(classed.join(least, "__root").select(F.col("__print").alias("__of"), "__class"), "simhash-classes")
-    return rows.join(named, F.col("__print") == F.col("__of")).select("__row", F.col("__key").alias(key), "__hash", "__print", "__class")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, budget: int = 3) -> DataFrame:
-    """``docs`` with one row of each class: the one with the least key, and of rows that
+    """``docs`` with one row of each component: the one with the least key, and of rows that
     repeat that key the one with the least text hash."""
     found = write_table(near_duplicates(docs, key, text, width, budget).withColumnRenamed(key, "__key"), "simhash-found")
+    return without(docs, key, text, found, losers(found, "__root"))
+
+
+def losers(found: DataFrame, group: str) -> DataFrame:
+    """Of ``found`` (__key, __hash and a group) the rows that aren't their group's first, by key
+    (null last) and text hash. Rows that repeat both are one."""
     order = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__hash").alias("h"))
-    best = write_table(found.groupBy("__class").agg(F.min(order).alias("b")).select(F.col("__class").alias("__of"), "b"), "simhash-kept")
-    gone = found.join(best, F.expr("__class <=> __of")).filter("__hash != b.h or not __key <=> b.k")
-    return without(docs, key, text, found, gone)
+    best = found.groupBy(F.col(group).alias("__of")).agg(F.min(order).alias("b"), F.count(F.lit(1)).alias("__size"))
+    best = write_table(best, "near-kept")
+    return join_hot(found, best, F.col(group) == F.col("__of"), "__size").filter("__hash != b.h or not __key <=> b.k")

@@ -224,7 +224,30 @@ def test_simhash(docs, empty):
     assert {(r["doc_id"], r["__class"]) for r in got} == {(k, least[c]) for (k, _), c in zip(rows, root)}
     left = simhash.drop_near_duplicates(docs.filter("doc_id is not null"), width=3)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(least.values())
-    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == simhash.drop_near_duplicates(empty).count() == 0
+
+
+def test_simhash_of_rows_that_share_a_key_or_have_none(spark):
+    rng = random.Random(3)
+    say = lambda: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(80))
+    texts = [say() for _ in range(5)]
+    rows = [*zip((5, 5, None, None, 7), texts), (5, texts[0]), (None, texts[2])]
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["text"] for r in left.collect())) == sorted(texts)
+
+
+def test_node_pairs_are_the_trie_traversals(spark):
+    rng = random.Random(5)
+    prints = {rng.getrandbits(64) >> rng.choice([0, 0, 7, 20]) for _ in range(400)}
+    signed = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "__print long")
+    nodes = simhash.upper_nodes(signed, 16)
+    tiles = sorted((r["low"] % (1 << 64), r["depth"]) for r in nodes.collect())
+    sizes = [sum(low <= p < low + (1 << (64 - d)) for p in prints) for low, d in tiles]
+    assert sum(sizes) == len(prints) and 0 < min(sizes) and max(sizes) <= 16 and len({d for _, d in tiles}) > 2
+    differ = lambda x, y: ((x[0] ^ y[0]) >> (64 - min(x[1], y[1]))).bit_count()
+    want = {frozenset((x[0], y[0])) for x in tiles for y in tiles if differ(x, y) <= 3}
+    got = [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.node_pairs(nodes, 3).collect()]
+    assert len(got) == len(want) and {frozenset(x) for x in got} == want
 
 
 @pytest.mark.parametrize("block", [16, 65536])
