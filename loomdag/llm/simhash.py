@@ -49,22 +49,26 @@ CHUNK = 1 << 18
 SLAB = 1 << 16
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """The unsigned 64-bit SimHash of a lower-cased text's word shingles."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included; fewer words than a shingle form one."""
     digest, join = xxhash.xxh64_intdigest, b" ".join
+    n = max(1, len(words) - width + 1)
+    return np.fromiter((digest(join(words[i : i + width]), SEED) for i in range(n)), dtype="<u8", count=n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     total = np.zeros(64, dtype=np.int64)
-    n = len(words) - width + 1
-    for lo in range(0, n, SLAB):
-        hi = min(lo + SLAB, n)
-        hashes = np.fromiter((digest(join(words[i : i + width]), SEED) for i in range(lo, hi)), dtype="<u8", count=hi - lo)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for lo in range(0, len(hashes), SLAB):
+        bits = np.unpackbits(hashes[lo : lo + SLAB].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << b for b in np.flatnonzero(2 * total > n).tolist()))
+    return int(sum(1 << b for b in np.flatnonzero(2 * total > len(hashes)).tolist()))
+
+
+def fingerprint(text: bytes, width: int) -> int:
+    """The unsigned 64-bit SimHash of a lower-cased text's word shingles."""
+    words = text.lower().split()
+    return majority(shingle_hashes(words, width)) if words else 0
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
