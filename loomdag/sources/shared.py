@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     none (tests, one machine) gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomdag-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/loomdag-{spark.sparkContext.applicationId}"
