@@ -83,13 +83,13 @@ def row_id_column(uuid: Column, author: Column | None = None) -> Column:
     return F.base64(F.unhex(F.sha2(text, 256)))
 
 
-_BIG = re.compile(r"^(0|-?[1-9][0-9]*)$")
-_DEC = re.compile(r"^([+-]?)([0-9]+)(?:\.([0-9]+))?$")
+_BIG = re.compile(r"0|-?[1-9][0-9]*")
+_DEC = re.compile(r"([+-]?)([0-9]+)(?:\.([0-9]+))?")
 
 
 def bigint(text: str) -> str:
     """Canonical big integer: no plus, no leading zeros, no minus zero."""
-    m = re.match(r"^([+-]?)([0-9]+)$", text)
+    m = re.fullmatch(r"([+-]?)([0-9]+)", text)
     if not m:
         raise ValueError(f"{text!r} is no integer")
     digits = m[2].lstrip("0") or "0"
@@ -97,12 +97,12 @@ def bigint(text: str) -> str:
 
 
 def is_bigint(text: object) -> bool:
-    return isinstance(text, str) and bool(_BIG.match(text))
+    return isinstance(text, str) and bool(_BIG.fullmatch(text))
 
 
 def decimal(text: str, scale: int, precision: int | None = None) -> str:
     """Canonical decimal of exactly ``scale`` places; more places are refused, not rounded."""
-    m = _DEC.match(text)
+    m = _DEC.fullmatch(text)
     if not m:
         raise ValueError(f"{text!r} is no decimal")
     places = m[3] or ""
@@ -131,16 +131,16 @@ def is_base64(text: object) -> bool:
 
 
 def is_bigint_column(c: Column) -> Column:
-    return c.rlike(r"^(0|-?[1-9][0-9]*)$")
+    return c.rlike(r"^(0|-?[1-9][0-9]*)\z")
 
 
 def is_decimal_column(c: Column, scale: int) -> Column:
     places = rf"\.[0-9]{{{scale}}}" if scale else ""
-    return c.rlike(rf"^-?(0|[1-9][0-9]*){places}$") & ~c.rlike(r"^-[0.]*$")
+    return c.rlike(rf"^-?(0|[1-9][0-9]*){places}\z") & ~c.rlike(r"^-[0.]*\z")
 
 
 def is_base64_column(c: Column) -> Column:
-    good = c.rlike(r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    good = c.rlike(r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z")
     return good & (F.regexp_replace(F.base64(F.unbase64(F.when(good, c))), r"\s", "") == c)
 
 
@@ -195,3 +195,11 @@ def check_format(value: Any, form: Any, at: str = "$") -> list[str]:
         elif not optional:
             out.append(f"{at}.{k}: missing")
     return out
+
+
+def decimal_key(c: Column) -> Column:
+    """The sort key of canonical decimals of unlike scales: the places are filled up to 64."""
+    whole = F.substring_index(c, ".", 1)
+    places = F.when(F.instr(c, ".") > 0, F.substring_index(c, ".", -1)).otherwise("")
+    key = sort_key(F.concat(whole, F.rpad(places, 64, "0")))
+    return F.when(c.rlike(r"^-?[0-9]+(\.[0-9]+)?\z"), key)

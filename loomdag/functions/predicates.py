@@ -14,12 +14,13 @@ Logic has two values: an atom with a missing operand is false, and its negation
 
 from __future__ import annotations
 
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomdag.functions.canonical import SAFE, sort_key
+from loomdag.functions.canonical import SAFE, decimal_key, sort_key
 
 NUMERIC = ("integer", "float", "bigint", "decimal")
 SPARK_TYPES = {"string": "string", "integer": "bigint", "float": "double", "boolean": "boolean", "json": "string", "bigint": "string", "decimal": "string", "bytes": "string"}
@@ -153,7 +154,7 @@ def lower(p: dict, types: dict[str, str], exists: Any = None, exact_utf16: bool
     family = operand_type(p["left"], types, operand_type(p["right"], types))
     if op in ("lt", "le", "gt", "ge"):
         if family in ("bigint", "decimal"):
-            a, b = (sort_key(x) if family == "bigint" else x.try_cast("decimal(38,18)") for x in (a, b))
+            a, b = (sort_key(x) if family == "bigint" else decimal_key(x) for x in (a, b))
         elif family == "string" and exact_utf16:
             a, b = F.encode(a, "UTF-16BE"), F.encode(b, "UTF-16BE")
     atom = {"eq": a == b, "ne": a != b, "lt": a < b, "le": a <= b, "gt": a > b, "ge": a >= b}[op]
@@ -183,7 +184,23 @@ def value_text(v: Any) -> str:
         return "TRUE" if v else "FALSE"
     if isinstance(v, str):
         return "'" + v.replace("'", "''") + "'"
-    return f"{v:g}" if isinstance(v, float) and not v.is_integer() else str(v)
+    if v is None:
+        return "NULL"
+    if isinstance(v, float):
+        # the shortest text that reads back as the same number, without an exponent
+        return format(Decimal(repr(v)), "f") if not v.is_integer() else f"{int(v)}.0"
+    if isinstance(v, (dict, list)):
+        return json_text(v)
+    return str(v)
+
+
+def json_text(v: Any) -> str:
+    """A JSON literal of the statement language."""
+    if isinstance(v, dict):
+        return "{" + ", ".join(f"{value_text(k)}: {json_text(x)}" for k, x in v.items()) + "}"
+    if isinstance(v, list):
+        return "[" + ", ".join(map(json_text, v)) + "]"
+    return value_text(v)
 
 
 def _operand_text(o: Any) -> str:

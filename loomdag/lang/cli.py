@@ -20,13 +20,14 @@ HELP = """\\dbs \\schemas \\groups   names          \\dt group          its tabl
 \\q                       leave          statements end with ;"""
 
 
-def show(result: Any, output: str = "table", rows: int = 1000) -> str:
-    """A result as text: a table, one value a line, or a JSON line a row."""
+def show(result: Any, output: str = "table") -> str:
+    """A whole result as text: a table, one value a line, or a JSON line a row. A script that
+    wants fewer rows says LIMIT."""
     if result is None:
         return "ok"
     if not isinstance(result, DataFrame):
         return str(result)
-    data = [r.asDict(recursive=True) for r in result.limit(rows).collect()]
+    data = [r.asDict(recursive=True) for r in result.toLocalIterator()]
     if output == "json":
         return "\n".join(json.dumps(r, ensure_ascii=False) for r in data)
     if output == "vertical":

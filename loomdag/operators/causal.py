@@ -1,8 +1,9 @@
 """Causal operators over a chain index.
 
-Every log (``dag_id``) is cut greedily into chains: an entry continues the chain of a
-predecessor that is still that chain's tail, else it opens one. ``vc[c]`` of an entry is
-the greatest place of chain c in its history, so that
+Every log (``dag_id``) is cut greedily into chains: an entry continues a chain whose tail
+is in its history, else it opens one, so a log has about as many chains as it ever had
+entries side by side. ``vc[c]`` of an entry is the greatest place of chain c in its
+history, so that
 
     a <= b   iff   get(b.vc, a.chain) >= a.idx
 
@@ -53,7 +54,9 @@ def sweep(hashes: list[str], prevs: list[list[str]]) -> list[tuple[int, int, int
         for p in own:
             other = out[p][3]
             vc = [max(a, b) for a, b in zip(vc + [-1] * (len(other) - len(vc)), other + [-1] * (len(vc) - len(other)))]
-        chain = next((out[p][1] for p in own if tails[out[p][1]] == out[p][2]), len(tails))
+        chain = next((out[p][1] for p in own if tails[out[p][1]] == out[p][2]), None)
+        if chain is None:  # any chain that ends in the history will do: its order is ancestry, not succession
+            chain = next((c for c, top in enumerate(vc) if top == tails[c]), len(tails))
         if chain == len(tails):
             tails.append(-1)
         tails[chain] += 1
@@ -122,11 +125,18 @@ def at_positions(index: DataFrame, positions: DataFrame) -> DataFrame:
     return grouped.withColumn("vc", _merge(F.transform("members", lambda m: m["vc"])))
 
 
+def reach(positions: DataFrame) -> DataFrame:
+    """__dag, pos_id, __chain, __upto: how far each position sees into each chain."""
+    seen = positions.select(F.col("dag_id").alias("__dag"), "pos_id", F.posexplode("vc").alias("__chain", "__upto"))
+    return seen.filter("__upto >= 0")
+
+
 def history(index: DataFrame, positions: DataFrame) -> DataFrame:
-    """hist(P): the rows of ``index`` in each position's history, with pos_id."""
-    p = at_positions(index, positions).select(F.col("dag_id").alias("__dag"), "pos_id", F.col("vc").alias("__vc"))
-    inside = (F.col("dag_id") == F.col("__dag")) & F.coalesce(F.get("__vc", F.col("chain")) >= F.col("idx"), F.lit(False))
-    return index.join(p, inside).drop("__dag", "__vc")
+    """hist(P): the rows of ``index`` in each position's history, with pos_id. Entries and
+    positions meet by (log, chain), so that a large log is spread over its chains."""
+    p = reach(at_positions(index, positions))
+    inside = (F.col("dag_id") == F.col("__dag")) & (F.col("chain") == F.col("__chain")) & (F.col("idx") <= F.col("__upto"))
+    return index.join(p, inside).drop("__dag", "__chain", "__upto")
 
 
 def concurrent(index: DataFrame, later: DataFrame, at: DataFrame) -> DataFrame:
@@ -171,27 +181,60 @@ def concurrent_cover(index: DataFrame, later: DataFrame, at: DataFrame, accept:
     return _unnest(maxima(concurrent(index, later, at).filter(accept), keys, []), keys)
 
 
+def _both(index: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """__dag, pos_id, __chain and how far the left and the right position see into it (-1: not)."""
+    keys = ["__dag", "pos_id", "__chain"]
+    a = reach(at_positions(index, left)).withColumnRenamed("__upto", "__a")
+    b = reach(at_positions(index, right)).withColumnRenamed("__upto", "__b")
+    met = a.select("__dag", "pos_id").distinct().join(b.select("__dag", "pos_id").distinct(), ["__dag", "pos_id"])
+    out = a.join(b, keys, "full_outer").join(met, ["__dag", "pos_id"], "left_semi")
+    return out.select(*keys, F.coalesce("__a", F.lit(-1)).alias("__a"), F.coalesce("__b", F.lit(-1)).alias("__b"))
+
+
+def fork_frontier(index: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """dag_id, pos_id, hash: the maxima of what two positions have in common. Of each chain
+    only the last common entry can be one, and it is looked up; no history is listed."""
+    keys = ["dag_id", "pos_id"]
+    top = _both(index, left, right).select("__dag", "pos_id", "__chain", F.least("__a", "__b").alias("__top")).filter("__top >= 0")
+    entries = index.select("dag_id", "hash", "chain", "idx", "vc")
+    found = entries.join(top, F.expr("dag_id = __dag and chain = __chain and idx = __top"))
+    return _unnest(maxima(found, keys, []), keys)
+
+
 def fork(index: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """dag_id, pos_id, hash, part: ``common`` and its maxima ``frontier``, and the own
+    """dag_id, pos_id, hash, part: all of ``common``, its maxima ``frontier``, and all own
     entries ``left`` and ``right`` of two positions that meet by (dag_id, pos_id)."""
     keys = ["dag_id", "pos_id"]
-    a = at_positions(index, left).select(*keys, F.col("vc").alias("__a"))
-    b = at_positions(index, right).select(*keys, F.col("vc").alias("__b"))
-    both = a.join(b, keys).select(F.col("dag_id").alias("__dag"), "pos_id", "__a", "__b")
-    rows = index.join(both, F.col("dag_id") == F.col("__dag")).drop("__dag")
-    in_a, in_b = (F.coalesce(F.get(v, F.col("chain")) >= F.col("idx"), F.lit(False)) for v in ("__a", "__b"))
-    parts = rows.select(*keys, "hash", "chain", "idx", "vc", F.when(in_a & in_b, "common").when(in_a, "left").when(in_b, "right").alias("part")).filter("part is not null")
-    tops = _unnest(maxima(parts.filter("part = 'common'"), keys, []), keys).withColumn("part", F.lit("frontier"))
-    return parts.select(*keys, "hash", "part").unionByName(tops)
+    both = _both(index, left, right)
+    inside = F.expr("dag_id = __dag and chain = __chain and idx <= greatest(__a, __b)")
+    part = F.when(F.col("idx") > F.col("__b"), "left").when(F.col("idx") > F.col("__a"), "right").otherwise("common")
+    parts = index.join(both, inside).select(*keys, "hash", part.alias("part"))
+    return parts.unionByName(fork_frontier(index, left, right).withColumn("part", F.lit("frontier")))
+
+
+def fork_position(index: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """The entries at the edge of a fork: ``left`` and ``right`` are own entries with a direct
+    predecessor in common, ``common`` are those predecessors, ``frontier`` the maxima of
+    all that is in common. ``index`` has prev."""
+    keys = ["dag_id", "pos_id"]
+    every = fork(index, left, right)
+    common = every.filter("part = 'common'").select(*keys, F.col("hash").alias("p"))
+    own = every.filter("part in ('left', 'right')").join(index.select("dag_id", "hash", F.explode("prev").alias("p")), ["dag_id", "hash"])
+    edge = own.join(common, [*keys, "p"])
+    heads = edge.select(*keys, "hash", "part").distinct()
+    tails = edge.select(*keys, F.col("p").alias("hash"), F.lit("common").alias("part")).distinct()
+    return heads.unionByName(tails).unionByName(every.filter("part = 'frontier'"))
 
 
 def meet(index: DataFrame, positions: DataFrame) -> DataFrame:
-    """dag_id, hash: the maxima of what all positions (pos_id) of a log have in common,
-    in one pass over counts instead of a fold."""
+    """dag_id, hash: the maxima of what all positions (pos_id) of a log have in common, from
+    the last entry of each chain that all of them see. No position of a log, no row."""
     n = positions.groupBy("dag_id").agg(F.count_distinct("pos_id").alias("__n"))
-    shared = history(index, positions).groupBy("dag_id", "hash", "chain", "idx", "vc").agg(F.count_distinct("pos_id").alias("__m"))
-    common = shared.join(n, "dag_id").filter("__m = __n").drop("__m", "__n")
-    return _unnest(maxima(common, ["dag_id"], []), ["dag_id"])
+    seen = reach(at_positions(index, positions)).groupBy("__dag", "__chain").agg(F.min("__upto").alias("__top"), F.count(F.lit(1)).alias("__m"))
+    tops = seen.join(n.withColumnRenamed("dag_id", "__log"), F.expr("__dag = __log and __m = __n"))
+    entries = index.select("dag_id", "hash", "chain", "idx", "vc")
+    found = entries.join(tops.select("__dag", "__chain", "__top"), F.expr("dag_id = __dag and chain = __chain and idx = __top"))
+    return _unnest(maxima(found, ["dag_id"], []), ["dag_id"])
 
 
 def meta_filter(keys: list[str] | None = None, values: dict[str, list[str]] | None = None) -> Column:

@@ -1,13 +1,13 @@
 """Projection of a group into ordinary tables.
 
 Without a checkpoint all live rows are written; with one, the delta between the two
-versions. A snapshot is a new directory; a pointer file names the current one, so that a
-reader sees the old or the new state and never a part of either.
+versions. A snapshot is a new directory and then a pointer file with its number; the largest
+number is the current state. Nothing that a reader may hold is changed or renamed, so a
+crash between any two steps leaves the old or the new state and never a part of either.
 """
 
 from __future__ import annotations
 
-import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -83,38 +83,42 @@ class Snapshot:
     def __init__(self, spark: SparkSession, path: str, key: str = "rowId") -> None:
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
-    def _pointer(self) -> Any:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def _fs(self) -> Any:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self) -> dict | None:
-        fs, path = self._pointer()
-        if not fs.exists(path):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/current").first()[0])
+    def _path(self, name: str) -> Any:
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
     def batch(self) -> int:
-        now = self._current()
-        return -1 if now is None else now["batch"]
+        """The number of the newest complete snapshot, -1 where there is none. A snapshot is
+        complete when its pointer file is there; pointers are never changed."""
+        fs, found = self._fs(), [-1]
+        if fs.exists(self._path("")):
+            found += [int(name[8:]) for f in fs.listStatus(self._path("")) if (name := f.getPath().getName()).startswith("current-") and name[8:].isdigit()]
+        return max(found)
 
     def read(self) -> DataFrame | None:
-        now = self._current()
-        return None if now is None else self.spark.read.parquet(f"{self.path}/{now['dir']}")
+        now = self.batch()
+        return None if now < 0 else self.spark.read.parquet(f"{self.path}/v{now}")
 
     def upsert(self, rows: DataFrame, number: int, deleted: DataFrame | None = None) -> None:
-        """Rows replace those of the same key; ``deleted`` (key) go; then the pointer moves."""
+        """Rows replace those of the same key; ``deleted`` (key) go; then the pointer is written.
+        A ``number`` at or below the newest one has been written and does nothing."""
+        if number <= self.batch():
+            return
         old = self.read()
         if old is not None:
             stay = old.join(rows.select(self.key), self.key, "left_anti")
             if deleted is not None:
                 stay = stay.join(deleted.select(self.key), self.key, "left_anti")
             rows = stay.unionByName(rows, allowMissingColumns=True)
-        name = f"v{number}"
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        fs, path = self._pointer()
-        side = path.suffix(".new")
-        out = fs.create(side, True)
-        out.write(bytearray(json.dumps({"dir": name, "batch": number}).encode()))
-        out.close()
-        fs.delete(path, False)
-        fs.rename(side, path)
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        fs = self._fs()
+        fs.create(self._path(f"current-{number}"), True).close()
+        # of what came before, one state stays for those who read it now
+        for f in fs.listStatus(self._path("")):
+            name = f.getPath().getName()
+            old_number = name.removeprefix("current-").removeprefix("v")
+            if old_number.isdigit() and int(old_number) < number - 1:
+                fs.delete(f.getPath(), True)

@@ -196,9 +196,13 @@ class Group:
 
     def values(self, table: str, row: str, at: list[str], later: list[str]) -> dict:
         by: dict[str, dict[str, Any]] = {}
+        now = self.schema(at, later).get(table)
         for h, op in self._counted(table, row, self._hist(at), later):
+            then = self.schema([h], [h]).get(table)
             for c, v in op.get("values", {}).items() if op["action"] != "delete" else ():
-                by.setdefault(c, {})[h] = v
+                # a column that was added anew since has none of its old writes
+                if not (now and then) or now.incarnations.get(c) == then.incarnations.get(c):
+                    by.setdefault(c, {})[h] = v
         return {c: ws[max(self.dag.maxima(ws))] for c, ws in by.items()}
 
     def reaches(self, table: str, row: str, at: list[str], later: list[str]) -> bool:

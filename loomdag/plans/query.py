@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdag.functions.canonical import sort_key
+from loomdag.functions.canonical import decimal_key, sort_key
 from loomdag.functions.predicates import QueryError, check, lower
 
 IDENTITY = ["rowId", "uuid", "rowAuthor"]
@@ -52,7 +52,7 @@ def run(rows: DataFrame, types: dict[str, str], query: dict, coerce: bool = Fals
     keys = []
     for item in query.get("orderBy") or []:
         c, kind = F.col(f"`{item['column']}`"), known[item["column"]]
-        c = sort_key(c) if kind == "bigint" else c.try_cast("decimal(38,18)") if kind == "decimal" else c
+        c = sort_key(c) if kind == "bigint" else decimal_key(c) if kind == "decimal" else c
         keys.append(c.desc_nulls_last() if item.get("direction") == "desc" else c.asc_nulls_last())
     rows = rows.orderBy(*keys, F.col("rowId").asc())
     if query.get("offset"):

@@ -215,6 +215,18 @@ def exists_atoms(p: dict) -> list[dict]:
     return [a for x in p.get("args", []) + ([p["arg"]] if "arg" in p else []) for a in exists_atoms(x)]
 
 
+def columns_of(p: Any) -> set[str]:
+    """The subject's columns that a rule names."""
+    if isinstance(p, str):
+        return {p[5:]} if p.startswith("$row.") else set()
+    if isinstance(p, list):
+        return set().union(*map(columns_of, p))
+    if not isinstance(p, dict) or "lit" in p:
+        return set()
+    own = {p["col"]} if isinstance(p.get("col"), str) else set()
+    return own.union(*(columns_of(v) for k, v in p.items() if k != "col" and not isinstance(v, str)), *(columns_of(v) for v in p.values() if isinstance(v, str) and v.startswith("$row.")))
+
+
 def apply(schema: Schema, rules: list[dict]) -> Schema:
     """``schema`` after ``rules``, one after another; the first that can't be applied is refused."""
     if len(rules) > LIMITS["rules"]:
@@ -251,7 +263,7 @@ def apply(schema: Schema, rules: list[dict]) -> Schema:
                 raise SchemaError(f"unknown column {t}.{c}")
             if len(table.columns) == 1:
                 raise SchemaError(f"{t} keeps one column at least")
-            used = c in table.fks or any(c in str(r["rule"]) for r in table.restrictions)
+            used = c in table.fks or any(c in columns_of(r["rule"]) for r in table.restrictions)
             used |= any(a["table"] == t and c in a["where"] for o in now.values() for r in o.restrictions for a in exists_atoms(r["rule"]))
             if used:
                 raise SchemaError(f"{t}.{c} is in use")

@@ -30,16 +30,22 @@ class LogStore:
         return found if dag_id is None else found.filter(F.col("dag_id") == dag_id)
 
     def missing(self, new: DataFrame) -> DataFrame:
-        """dag_id, hash of predecessors that neither the store nor ``new`` has."""
-        have = self.entries().select("dag_id", "hash").unionByName(new.select("dag_id", "hash"))
+        """dag_id, hash of predecessors that neither the store nor ``new`` has; only the logs
+        that ``new`` names are read."""
+        have = self._of(new).unionByName(new.select("dag_id", "hash"))
         named = new.select("dag_id", F.explode("prev").alias("hash")).distinct()
         return named.join(have, ["dag_id", "hash"], "left_anti")
 
+    def _of(self, new: DataFrame) -> DataFrame:
+        """dag_id, hash of the stored entries of the logs in ``new``: their folders alone, where
+        the join's keys prune partitions."""
+        return self.entries().select("dag_id", "hash").join(F.broadcast(new.select("dag_id").distinct()), "dag_id", "left_semi")
+
     def append(self, new: DataFrame) -> None:
         lacking = self.missing(new).limit(5).collect()
         if lacking:
             raise ValueError(f"missing predecessors: {[r['hash'] for r in lacking]}")
-        fresh = new.dropDuplicates(["dag_id", "hash"]).join(self.entries().select("dag_id", "hash"), ["dag_id", "hash"], "left_anti")
+        fresh = new.dropDuplicates(["dag_id", "hash"]).join(self._of(new), ["dag_id", "hash"], "left_anti")
         fresh.select("dag_id", "hash", "prev", "payload", "meta").write.mode("append").partitionBy("dag_id").parquet(self.path)
 
     def frontier(self) -> DataFrame:
