@@ -12,8 +12,10 @@ Pieces are ranked by (length, key, start) with global prefix sums, so that a pat
 share of a length is one range of ranks, and a piece finds its sequence and offset from
 its rank alone. The table of ranges grows with the number of lengths, not of pieces.
 
-Defined results: no pieces give no sequences; pieces that tie are interchangeable;
-a piece longer than the capacity is refused.
+Defined results: no pieces give no sequences; pieces that tie are interchangeable; rows
+that repeat key and start are pieces each; a null text is empty and has one piece, its
+end; a piece longer than the capacity is refused; texts are read whole; other columns
+are carried along, but for ``sequence_id`` and ``offset``, which give way to the results.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import global_prefix, write_table
+from loomdag.llm.common import global_prefix, sealed, write_table
 from loomdag.llm.tokens import token_pieces
 
 #: The program ends when its objective is proven to be this near the optimum.
@@ -136,7 +138,7 @@ def solve(demand: np.ndarray, capacity: int, gap: float = GAP, pivots: int = PIV
     return [(sizes, float(use[j]), basis[:, j]) for j in range(m) if cost[j] > 0 and use[j] > 0]
 
 
-def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
+def plan(counts: dict[int, int], capacity: int, gap: float = GAP, pivots: int = PIVOTS) -> tuple[np.ndarray, int]:
     """Ranges of ranks and the number of sequences.
 
     A range is (first rank, first sequence, pieces of it in a sequence, first offset,
@@ -150,7 +152,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     left = demand.copy()
     left[capacity] = 0
     used: list[tuple[dict[int, int], int]] = [({capacity: 1}, int(demand[capacity]))]
-    for sizes, use, column in solve(left, capacity):
+    for sizes, use, column in solve(left, capacity, gap, pivots):
         some = np.flatnonzero(column)
         pattern = {int(sizes[i]): int(round(column[i])) for i in some}
         times = min(int(use + 1e-6), *(int(left[w]) // n for w, n in pattern.items()))
@@ -173,14 +175,18 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(ranges), dtype=np.int64).reshape(-1, 5), sequence
 
 
-def pack(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
-    """``pieces`` (``key``, start, length, anything else) with sequence_id and offset."""
-    table = write_table(pieces.withColumn("__piece", F.monotonically_increasing_id()), "pack-pieces")
-    counts = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ranges, _ = plan(counts, capacity)
+def pack(pieces: DataFrame, capacity: int, key: str = "doc_id", gap: float = GAP, pivots: int = PIVOTS) -> DataFrame:
+    """``pieces`` (``key``, start, length, anything else) with sequence_id and offset; columns
+    of those names give way."""
+    pieces = pieces.drop("sequence_id", "offset")
+    rows, names = sealed(pieces)
+    table = write_table(rows.withColumn("__piece", F.monotonically_increasing_id()), "pack-pieces")
+    counts = {r["w"]: r["n"] for r in table.groupBy(F.col(names["length"]).alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranges, _ = plan(counts, capacity, gap, pivots)
     shared = table.sparkSession.sparkContext.broadcast(ranges)
     # only the columns that order the pieces are dealt by rank; the pieces themselves move once
-    ranked = global_prefix(table.select("__piece", "length", F.col(key).alias("__key"), "start"), ["length", "__key", "start"], [], "pack-ranks")
+    order = table.select("__piece", F.col(names["length"]).alias("__length"), F.col(names[key]).alias("__key"), F.col(names["start"]).alias("__start"))
+    ranked = global_prefix(order, ["__length", "__key", "__start"], [], "pack-ranks")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, sequence, each, offset, width = shared.value.T
@@ -189,11 +195,11 @@ def pack(pieces: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
             at = np.searchsorted(first, rank, side="right") - 1
             past = rank - first[at]
             columns = [batch.column(0), pa.array(sequence[at] + past // each[at]), pa.array(offset[at] + past % each[at] * width[at])]
-            yield pa.RecordBatch.from_arrays(columns, names=["__of", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(columns, names=["__of", "__sequence", "__offset"])
 
-    places = ranked.select("__piece", "__index").mapInArrow(place, "__of long, sequence_id long, offset long")
+    places = ranked.select("__piece", "__index").mapInArrow(place, "__of long, __sequence long, __offset long")
     met = table.join(write_table(places, "pack-places"), F.col("__piece") == F.col("__of"))
-    return met.select(*pieces.columns, "sequence_id", "offset")
+    return met.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("__sequence").alias("sequence_id"), F.col("__offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:

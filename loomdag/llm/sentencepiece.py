@@ -168,6 +168,9 @@ class Model:
         units, at = flat.dictionary.to_pylist(), flat.indices.to_numpy()
         place = np.fromiter(map(self.units.get, units, repeat(-1)), dtype=np.int64, count=len(units))
         new = np.flatnonzero(place < 0)
+        # short units come first: only they are remembered, so that memory is bounded in bytes too
+        short = np.array([len(units[i]) <= LONGEST for i in new.tolist()], dtype=bool)
+        new, kept = np.concatenate([new[short], new[~short]]), int(short.sum())
         fresh = [self.viterbi(MARK + units[i]) for i in new.tolist()]
         base, stay = len(self.lens), len(self.pool)
         lens = np.array([len(x) for x in fresh], dtype=np.int64)
@@ -189,8 +192,8 @@ class Model:
         ids = pool[np.repeat(starts[where] - (ends - size), size) + np.arange(total)]
         cuts = np.concatenate([[0], ends])[offsets].astype(np.int32)
         if len(self.units) < REMEMBERED:  # the first to come are the frequent ones
-            keep = base + len(new)
-            self.units.update(zip([units[i] for i in new.tolist()], range(base, keep)))
+            keep = base + kept
+            self.units.update(zip([units[i] for i in new[:kept].tolist()], range(base, keep)))
             self.pool, self.starts, self.lens = pool[: stay + int(lens[base:keep].sum())].copy(), starts[:keep].copy(), lens[:keep].copy()
         return pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids, pa.int32()))
 
@@ -237,7 +240,9 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text")
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """``rows`` with the column ``out``: the text of ``ids``; null ids give an empty text."""
+    """``rows`` with the column ``out``: the text of ``ids``; null ids give an empty text. A
+    column of that name gives way."""
+    rows = rows.drop(out)
     at = rows.columns.index(ids)
     names = [*rows.columns, out]
 

@@ -24,6 +24,8 @@ from loomdag.llm.common import worker_memory
 REMEMBERED = 400_000
 #: Bytes of text that are worked on at a time, unless one text has more.
 SLICE = 4_000_000
+#: Longer units (in letters) are encoded anew each time.
+LONGEST = 64
 #: Units that are encoded as one text.
 JOINED = 4096
 END = 0
@@ -83,6 +85,9 @@ class UnitEncoder:
         missing = np.flatnonzero(lookup == -2)
         visible = [i for i in missing.tolist() if (u := units[i]) and not u[0].isspace() and not u[-1].isspace()]
         lookup[missing] = -1
+        # short units come first: only they are remembered, so that memory is bounded in bytes too
+        visible.sort(key=lambda i: len(units[i]) > LONGEST)
+        kept = sum(len(units[i]) <= LONGEST for i in visible)
         ids, counts = self._units([units[i] for i in visible])
         base, stay = len(self.lens), len(self.pool)
         pool, starts, lens = self.pool, self.starts, self.lens
@@ -113,10 +118,10 @@ class UnitEncoder:
         where = np.repeat(starts[at] - (ends - size), size) + np.arange(int(ends[-1]))
         out, sizes = pool[where], np.add.reduceat(size, begin)
         if len(self.known) < REMEMBERED:  # the first to come are the frequent ones
-            self.known.update(zip([units[i] for i in visible], range(base, base + len(visible))))
-            self.known.update((units[i], -1) for i in missing.tolist() if lookup[i] == -1)
-            keep = base + len(visible)
-            self.pool, self.starts, self.lens = pool[: stay + len(ids)].copy(), starts[:keep].copy(), lens[:keep].copy()
+            self.known.update(zip([units[i] for i in visible[:kept]], range(base, base + kept)))
+            self.known.update((units[i], -1) for i in missing.tolist() if lookup[i] == -1 and len(units[i]) <= LONGEST)
+            keep = base + kept
+            self.pool, self.starts, self.lens = pool[: stay + int(counts[:kept].sum())].copy(), starts[:keep].copy(), lens[:keep].copy()
         return out, sizes
 
 
