@@ -83,7 +83,8 @@ class Group:
         if not self.stack and key in self.asked:
             return self.asked[key]
         if entry in self.stack:
-            self.meetings += 1
+            # an entry that sees itself meets no one else: that is so whoever asks
+            self.meetings += entry != self.stack[-1]
             return {"kind": "authorization-cycle"}
         before = self.meetings
         self.stack.append(entry)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,13 @@ from pyspark.sql import functions as F
 
 from loomdag.functions import predicates as P
 from loomdag.functions.canonical import is_base64_column, is_bigint_column, is_decimal_column, row_id_column
-from loomdag.operators import causal, rows
+from loomdag import scenarios
+from loomdag.operators import causal, rows, voiding
+from loomdag.operators.projection import Snapshot
 from loomdag.plans import query as Q
-from loomdag.sources.shared import write_table
+from loomdag.plans import rules as R
+from loomdag.plans.schema import Table
+from loomdag.sources.shared import shared_dir, write_table
 from loomdag.sources.tables import events_log, read, rows_view
 
 ORDERS = {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "string", "o_totalprice": "float", "o_orderpriority": "string", "note": "string"}
@@ -90,6 +95,14 @@ def fork_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal.fork(index, one(3), one(7)).select("dag_id", "part", "hash")
 
 
+def fork_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    top = index.groupBy("dag_id").agg(F.max("seq").alias("__n"))
+    at = index.join(top, "dag_id")
+    one = lambda back: at.filter(F.col("seq") == F.col("__n") - back).select("dag_id", F.lit("p").alias("pos_id"), "hash")
+    return causal.fork_position(index, one(3), one(7)).select("dag_id", "part", "hash")
+
+
 def meet(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
     top = index.groupBy("dag_id").agg(F.max("seq").alias("__n"))
@@ -102,19 +115,37 @@ def _ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).select("dag_id", "hash", "prev", "topo", "chain", "idx", "vc", "seq", "row_id", F.col("row_id").alias("uuid"), "author", "action", F.create_map("column", "value").alias("values"))
 
 
-def _void(ops: DataFrame) -> DataFrame:
-    """Void by decree: author u3's deletes and every thirteenth entry."""
-    return ops.filter("(author = 'u3' and action = 'delete') or seq % 13 = 12").select("dag_id", "hash")
+#: One table whose rows belong to their authors: no rule is written, so the default one holds.
+ITEMS = [{"items": Table("items", {c: {"type": "float", "nullable": True} for c in ("c0", "c1", "c2")}, {}, False)}]
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry's verdict under the default rule, by ``operators.voiding``, written once."""
+    log = events_log(spark, sf_dir)
+    one = F.struct(
+        F.lit("items").alias("table"), F.col("row_id").alias("rowId"), F.col("row_id").alias("uuid"), "author", "action",
+        F.when(F.col("action") != "delete", F.create_map("column", F.col("value").cast("double"))).otherwise(F.create_map().cast("map<string,double>")).alias("values"),
+    )
+    entries = log.select("dag_id", "hash", "prev", F.to_json(F.struct(F.lit("ops").alias("kind"), F.array(one).alias("ops"))).alias("payload"))
+    return write_table(voiding.verdicts(entries, ITEMS), "events-verdicts")
+
+
+def _void(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(spark, sf_dir).filter("void").select("dag_id", "hash")
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(spark, sf_dir).select("dag_id", "hash", "void", "reason")
 
 
 def base_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = _ops(spark, sf_dir)
-    return rows.live_rows(ops, _last(ops, 5), void=_void(ops), base=True).select("dag_id", "row_id", "author")
+    return rows.live_rows(ops, _last(ops, 5), void=_void(spark, sf_dir), base=True).select("dag_id", "row_id", "author")
 
 
 def enforced_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = _ops(spark, sf_dir)
-    return rows.live_rows(ops, _last(ops, 5), void=_void(ops)).select("dag_id", "row_id", "author")
+    return rows.live_rows(ops, _last(ops, 5), void=_void(spark, sf_dir)).select("dag_id", "row_id", "author")
 
 
 def concurrent_delete_kill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +165,7 @@ CELLS = {"c0": {"type": "float", "default": -1.0}, "c1": {"type": "float"}, "c2"
 def view_at_from(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = _ops(spark, sf_dir)
     end = causal.frontier(ops).withColumn("pos_id", F.lit("p"))
-    return rows.table_view(ops, CELLS, _last(ops, 11), end, _void(ops)).select("dag_id", F.col("rowId").alias("row_id"), F.col("rowAuthor").alias("author"), "c0", "c1", "c2")
+    return rows.table_view(ops, CELLS, _last(ops, 11), end, _void(spark, sf_dir)).select("dag_id", F.col("rowId").alias("row_id"), F.col("rowAuthor").alias("author"), "c0", "c1", "c2")
 
 
 def delta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,35 +175,37 @@ def delta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("dag_id", "row_id", "was_live", "is_live", flat.alias("columns"))
 
 
-def _line_rule(spark: SparkSession, sf_dir: str, under_or: bool) -> DataFrame:
-    """Rules as joins: an order may be written if its customer holds a capability."""
-    caps = read(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("grantee"))
+def _order_rule(spark: SparkSession, sf_dir: str, rule: dict) -> DataFrame:
+    """Orders that a rule allows, the customers of one segment being the capabilities."""
+    caps = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("grantee"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    orders.createOrReplaceTempView("__rule_orders")
-    caps.createOrReplaceTempView("__rule_caps")
-    more = "or o_orderstatus = 'F'" if under_or else ""
-    return spark.sql(f"select o_orderkey from __rule_orders o where exists (select 1 from __rule_caps where grantee = o.o_custkey) {more}")
+    return R.judged(orders, rule, ORDERS, {"caps": caps}).filter("allowed").select("o_orderkey")
+
+
+HELD = {"p": "exists", "table": "caps", "where": {"label": lit("BUILDING"), "grantee": "$row.o_custkey"}}
 
 
 def exists_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_rule(spark, sf_dir, False)
+    return _order_rule(spark, sf_dir, HELD)
 
 
 def exists_under_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_rule(spark, sf_dir, True)
+    return _order_rule(spark, sf_dir, {"p": "or", "args": [HELD, cmp("eq", col("o_orderstatus"), lit("F"))]})
 
 
 def fk_reach_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose order is not live (orders of status P are deleted)."""
-    live = read(spark, sf_dir, "orders").filter("o_orderstatus != 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").join(live, "l_orderkey", "left_anti")
+    live = read(spark, sf_dir, "orders").filter("o_orderstatus != 'P'").select(F.col("o_orderkey").alias("rowId"))
+    return R.unreached(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), {"l_orderkey": "orders"}, {"orders": live}).drop("failed")
 
 
 def default_rule_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Updates and deletes by another author than the row's, in one log."""
-    ops = _ops(spark, sf_dir)
-    owner = ops.filter("action = 'insert'").groupBy("dag_id", "row_id").agg(F.max_by("author", "hash").alias("owner"))
-    return ops.filter("action != 'insert'").join(owner, ["dag_id", "row_id"]).filter("author != owner").select("dag_id", "hash")
+    """Writes to live rows that the default rule refuses: they are another author's."""
+    return _verdicts(spark, sf_dir).filter("reason like 'restriction%'").select("dag_id", "hash")
+
+
+def find_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.find_row_ids(_orders(spark, sf_dir), {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"})
 
 
 def canonical_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +236,7 @@ PROJECTED = {
     "join_inner": "SELECT n_name, count(*) AS n_customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "join_left": "SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "join_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
-    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "agg": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity, max(l_extendedprice) AS most FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "rollup": "SELECT c_mktsegment, CAST(c_nationkey AS STRING) AS nation, count(*) AS n FROM customer GROUP BY ROLLUP (c_mktsegment, CAST(c_nationkey AS STRING))",
     "cube": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
@@ -214,9 +247,18 @@ PROJECTED = {
 
 
 def upsert_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last event of every (user, type) as a keyed table, as a projection upserts it."""
+    """The last event of every (user, type) as a keyed table: four stretches of time are
+    upserted into a snapshot one after another, the last of them twice."""
     e = read(spark, sf_dir, "events")
-    return e.groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("event_id").alias("last_event"))
+    e = e.withColumn("rowId", F.concat_ws("/", "user_id", "event_type")).withColumn("__at", F.unix_micros(F.col("ts").cast("timestamp")))
+    first, last = e.agg(F.min("__at"), F.max("__at")).first()
+    step = (last - first) // 4 + 1
+    snap = Snapshot(spark, f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}")
+    for k in (0, 1, 2, 3, 3):
+        part = e.filter((F.col("__at") >= first + k * step) & (F.col("__at") < first + (k + 1) * step))
+        newest = F.max_by(F.struct("user_id", "event_type", "value", "event_id"), F.struct("__at", "event_id")).alias("n")
+        snap.upsert(part.groupBy("rowId").agg(newest).select("rowId", "n.*"), k)
+    return snap.read().select("user_id", "event_type", "value", F.col("event_id").alias("last_event"))
 
 
 def set_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,9 +281,27 @@ def set_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def causal_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries that can be applied when one of each 31 has not arrived: all its successors wait."""
-    log = events_log(spark, sf_dir)
-    return causal.chain_index(log.filter("seq % 31 != 30")).select("dag_id", "hash")
+    """A stream of entries out of order, one of each 31 of which never arrives: what can be
+    applied is, and all successors of a missing entry wait."""
+    from loomdag.streaming import ingest
+
+    base = f"{shared_dir(spark)}/apply-{uuid.uuid4().hex}"
+    log = events_log(spark, sf_dir).filter("seq % 31 != 30")
+    arrived = log.select(F.col("dag_id").cast("string").alias("dag_id"), "hash", "prev", F.lit("{}").alias("payload"), F.pmod(F.xxhash64("hash"), F.lit(3)).alias("turn"))
+    arrived = write_table(arrived, "apply-log")
+    for turn in range(3):
+        arrived.filter(F.col("turn") == turn).drop("turn").write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema("dag_id string, hash string, prev array<string>, payload string").option("maxFilesPerTrigger", 4).parquet(f"{base}/in")
+    query = ingest.causal_apply(stream).writeStream.format("parquet").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.col("dag_id").cast("long").alias("dag_id"), "hash")
+
+
+def order_missing_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretch of the order in which the missing values begin."""
+    known = _orders(spark, sf_dir).filter("note is not null").count()
+    order = [{"column": "note", "direction": "desc"}, {"column": "o_orderkey"}]
+    return _select(None, ["o_orderkey", "note"], orderBy=order, limit=50, offset=max(0, known - 25))(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
@@ -257,14 +317,13 @@ def queries() -> dict[str, Query]:
         "arith_int": _select(cmp("gt", add, lit(500)), ["o_orderkey", "o_custkey"]),
         "len": _select(cmp("ge", {"len": prio}, lit(8)), ["o_orderkey", "o_orderpriority"]),
         "project": _select(None, ["o_orderkey", "o_orderstatus"]),
-        "order_missing_last": _select(None, ["o_orderkey", "note"], orderBy=[{"column": "note", "direction": "desc"}, {"column": "o_orderkey"}], limit=50, offset=5),
         "topk": _select(P.like("o_orderpriority", "1%"), ["o_orderkey", "o_totalprice"], orderBy=[{"column": "o_totalprice", "direction": "desc"}, {"column": "o_orderkey"}], limit=10),
         "limit_offset": _select(None, ["o_orderkey"], orderBy=[{"column": "o_orderkey"}], limit=20, offset=40),
     }
     for f in (
-        frontier, history_at, min_cover, cover_filtered, concurrent_cover, fork_parts, meet, base_live, enforced_live, concurrent_delete_kill, lww_values,
+        frontier, history_at, min_cover, cover_filtered, concurrent_cover, fork_parts, fork_position, meet, verdicts, base_live, enforced_live, concurrent_delete_kill, lww_values,
         view_at_from, delta_rows, exists_semi, exists_under_or, fk_reach_anti, default_rule_owner, canonical_checks, row_identity, upsert_replay,
-        set_membership, set_barrier, causal_apply,
+        set_membership, set_barrier, causal_apply, find_rows, order_missing_last, *scenarios.QUERIES,
     ):
         found[f.__name__] = f
     return found | {name: _sql(text) for name, text in PROJECTED.items()}
