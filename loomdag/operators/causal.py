@@ -139,6 +139,15 @@ def history(index: DataFrame, positions: DataFrame) -> DataFrame:
     return index.join(p, inside).drop("__dag", "__chain", "__upto")
 
 
+def walk_back(index: DataFrame, positions: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The rows of ``index`` in each position's history that its bound hasn't seen, with pos_id:
+    what a walk back from the position meets before it comes to the bound. Positions
+    and bounds meet by (dag_id, pos_id); order by topo, descending, for the walk's order."""
+    both = _both(index, positions, bounds)
+    inside = F.expr("dag_id = __dag and chain = __chain and idx <= __a and idx > __b")
+    return index.join(both.filter("__a > __b"), inside).drop("__dag", "__chain", "__a", "__b")
+
+
 def concurrent(index: DataFrame, later: DataFrame, at: DataFrame) -> DataFrame:
     """conc(from, at): in the history of ``later``, neither before nor after any member of
     ``at``; positions meet by (dag_id, pos_id)."""

@@ -163,6 +163,8 @@ ORACLES = {
     "project": f"SELECT uuid, o_orderkey, o_orderstatus FROM {ORDERS}",
     "order_missing_last": f"SELECT uuid, o_orderkey, note FROM {ORDERS} ORDER BY note DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET (SELECT greatest(0, count(note) - 25) FROM {ORDERS})",
     "verdicts": f"{LOG}, {JUDGED} SELECT dag_id, hash, reason IS NOT NULL AS void, reason FROM judged",
+    "walk_to_bound": f"""{LOG}, {_pos(2, 'p1')}, {_pos(14, 'p2')}, {_hist('p1', 'h1')}, {_hist('p2', 'h2')}
+        {_hashes('SELECT * FROM h1 EXCEPT SELECT * FROM h2')}""",
     "find_rows": f"""SELECT to_base64(unhex(sha256('{{"uuid":"' || uuid || '"}}'))) AS "rowId" FROM {ORDERS} WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'""",
     "fork_position": f"""{LOG}, l AS (SELECT dag_id, seq FROM ops WHERE seq = last - 3), r AS (SELECT dag_id, seq FROM ops WHERE seq = last - 7),
         {_hist('l', 'hl')}, {_hist('r', 'hr')}, common AS (SELECT * FROM hl INTERSECT SELECT * FROM hr),

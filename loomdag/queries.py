@@ -103,6 +103,11 @@ def fork_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return causal.fork_position(index, one(3), one(7)).select("dag_id", "part", "hash")
 
 
+def walk_to_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _index(spark, sf_dir)
+    return causal.walk_back(index, _last(index, 2), _last(index, 14)).select("dag_id", "hash")
+
+
 def meet(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _index(spark, sf_dir)
     top = index.groupBy("dag_id").agg(F.max("seq").alias("__n"))
@@ -321,7 +326,7 @@ def queries() -> dict[str, Query]:
         "limit_offset": _select(None, ["o_orderkey"], orderBy=[{"column": "o_orderkey"}], limit=20, offset=40),
     }
     for f in (
-        frontier, history_at, min_cover, cover_filtered, concurrent_cover, fork_parts, fork_position, meet, verdicts, base_live, enforced_live, concurrent_delete_kill, lww_values,
+        frontier, history_at, min_cover, cover_filtered, concurrent_cover, fork_parts, fork_position, walk_to_bound, meet, verdicts, base_live, enforced_live, concurrent_delete_kill, lww_values,
         view_at_from, delta_rows, exists_semi, exists_under_or, fk_reach_anti, default_rule_owner, canonical_checks, row_identity, upsert_replay,
         set_membership, set_barrier, causal_apply, find_rows, order_missing_last, *scenarios.QUERIES,
     ):

@@ -197,3 +197,30 @@ def test_crash_between_snapshot_steps_loses_nothing(spark, tmp_path):
     snap.upsert(frame(("b", 2)), 1)
     snap.upsert(frame(("c", 3)), 1)
     assert sorted(r["rowId"] for r in snap.read().collect()) == ["a", "b"]
+
+
+def test_another_session_reads_the_store(engine, spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "store"))
+    engine.save(store)
+    engine.sql("ALTER SCHEMA shop AS (ADD COLUMN orders.status string DEFAULT 'new'); UPDATE SCHEMA shop TO LATEST ON sales; INSERT INTO orders (uuid, customer, status) VALUES ('o5', 'eve', 'y')")
+    engine.save(store)
+    other = Engine.load(spark, LogStore(spark, str(tmp_path / "store")))
+    same = lambda e: sorted(map(str, e.sql("SELECT * FROM orders")[0].collect()))
+    assert same(other) == same(engine) and len(same(other)) == 3
+    assert {n: (log.kind, sorted(h for h, _, _ in log.entries)) for n, log in other.logs.items()} == {n: (log.kind, sorted(h for h, _, _ in log.entries)) for n, log in engine.logs.items()}
+    other.sql("INSERT INTO orders (uuid, customer) VALUES ('o6', 'dan')")
+    other.save(store)
+    assert len(same(Engine.load(spark, store))) == 4
+
+
+def test_endpoints_are_replaced_and_withdrawn(spark):
+    from loomdag.lang.users import Users
+
+    users = Users(Engine(spark), "people", "founder")
+    ann = users.register("ann-key")
+    users.publish("wss://one", ann)
+    users.publish("wss://two", ann)
+    table = lambda: [r["address"] for r in users.engine.table("people", "endpoints").collect()]
+    assert table() == ["wss://two"] and len(users.endpoints(ann)) == 1
+    users.withdraw(ann)
+    assert table() == [] and users.withdraw(ann) is None
