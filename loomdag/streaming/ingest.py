@@ -8,6 +8,7 @@ lateness: a late entry is simply concurrent with what came before it.
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -29,9 +30,9 @@ def release_ready(applied: set[str], pending: dict[str, tuple[list[str], str]])
         lacking[h] = len(need)
         for p in need:
             after.setdefault(p, []).append(h)
-    ready, out = sorted(h for h, n in lacking.items() if n == 0), []
+    ready, out = deque(sorted(h for h, n in lacking.items() if n == 0)), []
     while ready:
-        h = ready.pop(0)
+        h = ready.popleft()
         out.append(h)
         applied.add(h)
         for s in sorted(after.get(h, [])):
