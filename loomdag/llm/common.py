@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable
 from types import ModuleType
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ def worker_memory(name: str, make: Callable[[], Any]) -> Any:
     return vars(kept)[name]
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers outlive their tasks, and
+    the next stage's find an executor's memory as these left it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def sealed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` under names that no operator uses, and the new name of each column."""
     names = {c: f"__in_{i}" for i, c in enumerate(docs.columns)}

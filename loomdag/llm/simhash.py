@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdag.llm.common import join_hot, text_hash, without, write_table
+from loomdag.llm.common import give_back, join_hot, text_hash, without, write_table
 
 SEED = 42
 #: Most fingerprints under one node of the upper trie.
@@ -79,6 +79,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             found = [fingerprint((t or "").encode(), width) for t in batch.column(3).to_pylist()]
             prints = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], prints], names=["__row", "__key", "__hash", "__print"])
+        give_back()
 
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), F.col(key).alias("__key"), text_hash(F.col(text)).alias("__hash"), F.col(text).alias("__text"))
     kind = rows.schema["__key"].dataType.simpleString()
