@@ -70,6 +70,8 @@ class Group:
 
     def schema(self, at: list[str], later: list[str]) -> Schema:
         """The largest schema deployed at or before ``at``, or concurrently as seen from ``later``."""
+        if len(self.schemas) == 1:
+            return self.schemas[0]
         seen, beside = self._hist(at), self._beside(later, at)
         return self.schemas[max([n for h, n in self.deploys if h in seen or h in beside], default=0)]
 
