@@ -1,6 +1,9 @@
 """The near-dedup stage of the pipeline against all pairs' Jaccard similarity."""
 
 import random
+from fractions import Fraction
+
+import numpy as np
 
 import corpus_pipeline
 from loomdag.llm import shingles
@@ -98,3 +101,34 @@ def test_share_of_near_copies_caught(spark):
     df = spark.createDataFrame(list(enumerate(first + copies)), "doc_id long, text string")
     left = {r["doc_id"] for r in shingles.drop_similar(df).collect()}
     assert len(near) > 60 and not near & left and set(range(80)) <= left
+
+
+def test_pairs_inside_a_large_bucket_are_all_found(spark):
+    """Pairs of four fifths that share a part of their own words, in 240 texts of a common passage: none is left."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("klmnop") + rng.choice("qrstuv") for _ in range(n))
+    passage = say(300)
+    found = [f"{passage} {own} {say(30)}" for own in (say(24) for _ in range(120)) for _ in range(2)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, found)]
+    near = [(j, i) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    assert near == [(i, i + 1) for i in range(0, 240, 2)]
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in shingles.drop_similar(df).collect()) == list(range(0, 240, 2))
+
+
+def test_parts_of_a_bucket_meet_in_all_pairs(spark):
+    """Whatever the cut, each pair of unlike components that the marks allow comes once; marks differ no more than sets."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, 200, dtype=np.uint64)
+    own = [np.unique(np.concatenate([base[: 200 - k], rng.integers(0, 2**64, k, dtype=np.uint64)])) for k in (5 + i % 60 for i in range(60))]
+    bits = [np.unpackbits(shingles.marks(v).view(np.uint8)) for v in own]
+    delta = [[len(np.setxor1d(a, b)) for b in own] for a in own]
+    assert all((p != q).sum() <= delta[i][j] for i, p in enumerate(bits) for j, q in enumerate(bits))
+    sets = spark.createDataFrame([(i, shingles.marks(v).tolist()) for i, v in enumerate(own)], "__row long, __marks array<long>")
+    # two buckets of 60 and 20 rows; a root is a row's number modulo 7
+    members = spark.createDataFrame([(b, i, len(v), i % 7) for i, v in enumerate(own) for b in (1, 2) if b == 1 or i % 3 == 0], "__bucket long, __row long, __n long, __root long")
+    want = {(i, j) for j in range(60) for i in range(j) if i % 7 != j % 7 and 9 * (bits[i] != bits[j]).sum() <= len(own[i]) + len(own[j])}
+    assert {(i, j) for j in range(60) for i in range(j) if i % 7 != j % 7 and 9 * delta[i][j] <= len(own[i]) + len(own[j])} <= want
+    placed = shingles.placed_members(members)
+    for part in (7, 1000):
+        assert sorted(tuple(r) for r in shingles.all_pairs(placed, sets, Fraction(4, 5), part).collect()) == sorted(want)
