@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from loomdag.llm.common import give_back, join_hot, partitions, text_hash, without, write_table
 from loomdag.llm import simhash
+from loomdag.llm.exact_dedup import Filter
 from loomdag.llm.simhash import SEED, SLAB, components, losers
 
 BANDS, ROWS = 30, 5
@@ -137,7 +138,10 @@ def bucket_pairs(members: DataFrame, small: int, similarity: Fraction) -> tuple[
     member = F.struct("__row", "__n")
     sizes = members.groupBy(F.col("__bucket").alias("__of")).agg(F.count(F.lit(1)).alias("__size"))
     sizes = write_table(sizes.filter("__size > 1"), "shingle-buckets")
-    met = write_table(join_hot(members, sizes, F.col("__bucket") == F.col("__of"), "__size").select(*members.columns, "__size"), "shingle-members")
+    # nearly all places are the only one of their bucket, and aren't shuffled again
+    shared = Filter(sizes.select(F.col("__of").alias("__hash")), 1).test(members.withColumnRenamed("__bucket", "__hash")).filter("__maybe")
+    shared = shared.withColumnRenamed("__hash", "__bucket").select(*members.columns)
+    met = write_table(join_hot(shared, sizes, F.col("__bucket") == F.col("__of"), "__size").select(*members.columns, "__size"), "shingle-members")
     few = met.filter(f"__size <= {small}").groupBy("__bucket").agg(F.collect_list(member).alias("__with"))
     few = few.select(F.explode("__with").alias("x"), "__with").select("x", F.explode("__with").alias("y")).filter("x.__row < y.__row")
     many = met.filter(f"__size > {small}").select(*members.columns)
@@ -153,7 +157,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFr
     marked = sets.select("__row", F.struct("__n", "__marks"))
     near = pairs.join(marked.toDF("a", "x"), "a").join(marked.toDF("b", "y"), "b").filter(_may_link(similarity))
     near = write_table(near.select("a", "b"), "shingle-near")
-    wide = sets.select("__row", "__set")
+    ends = near.select(F.col("a").alias("__row")).union(near.select("b")).distinct()
+    wide = sets.select("__row", "__set").join(ends, "__row", "left_semi")
     whole = near.join(wide.toDF("a", "sa"), "a").join(wide.toDF("b", "sb"), "b")
     shared = whole.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
     return write_table(shared.filter(f"n * {q} >= (m - n) * {p}").select("a", "b"), "shingle-links")
@@ -171,7 +176,9 @@ def shingle_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, key: str
         give_back()
 
     named = write_table(signed.join(wanted.distinct(), "__row").select("__row", "__key", "__hash"), "shingle-wanted")
-    texts = docs.select(F.col(key).alias("k"), text_hash(F.col(text)).alias("h"), F.col(text).alias("t"))
+    texts = docs.select(F.col(key).alias("k"), text_hash(F.col(text)).alias("__hash"), F.col(text).alias("t"))
+    # only texts that may be wanted are shuffled
+    texts = Filter(named.select("__hash"), 1).test(texts).filter("__maybe").select("k", F.col("__hash").alias("h"), "t")
     read = texts.join(named, F.expr("h = __hash and k <=> __key")).select("__row", "t").dropDuplicates(["__row"])
     return write_table(read.mapInArrow(run, "__row long, __n long, __marks array<long>, __set array<long>"), "shingle-sets")
 
