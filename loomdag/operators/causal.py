@@ -18,12 +18,15 @@ Positions: dag_id, pos_id, hash (one row per hash of the position).
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 INDEX = "topo int, chain int, idx int, vc array<int>"
+PLACES = {"topo": pa.int32(), "chain": pa.int32(), "idx": pa.int32(), "vc": pa.list_(pa.int32())}
 
 
 def sweep(hashes: list[str], prevs: list[list[str]]) -> list[tuple[int, int, int, list[int]] | None]:
@@ -71,21 +74,72 @@ def sweep(hashes: list[str], prevs: list[list[str]]) -> list[tuple[int, int, int
     return out
 
 
-def chain_index(entries: DataFrame) -> DataFrame:
+def clustered(entries: DataFrame) -> DataFrame:
+    """``entries`` with every log whole and in one piece of one partition, repeats of a hash
+    once. The window asks for that and no more: nothing is shuffled where logs lie whole."""
+    before = F.lag("hash").over(Window.partitionBy("dag_id").orderBy("hash"))
+    return entries.withColumn("__again", before.eqNullSafe(F.col("hash"))).filter("not __again").drop("__again")
+
+
+def spans(ids: list) -> list[tuple[int, int]]:
+    """Where each log starts and ends in a column of log ids."""
+    starts = [i for i in range(len(ids)) if not i or ids[i] != ids[i - 1]]
+    return list(zip(starts, [*starts[1:], len(ids)]))
+
+
+def whole_logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole logs, of the batches of a clustered partition. What is held is the
+    last batch and the log that isn't at its end; a group of rows for each log would cost more than
+    its sweep."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("dag_id").to_pylist()
+        cut = spans(ids)[-1][0]
+        if cut or (held and ids[0] != last):
+            done = [*held, batch.slice(0, cut)]
+            held = []
+            yield pa.Table.from_batches(done)
+        held.append(batch.slice(cut))
+        last = ids[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def arrow_rows(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
+
+
+def chain_index(entries: DataFrame, wide: bool = False) -> DataFrame:
     """``entries`` with the chain index; entries that lack a predecessor are left out.
 
-    One sweep per log. Only (dag_id, hash, prev) go through it; repeats of a hash count once.
+    One sweep per log; repeats of a hash count once. Whole rows go through the sweep, so
+    the logs are dealt once; with ``wide`` only (dag_id, hash, prev) do and the rest is joined,
+    for payloads that a task can't hold beside a log.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = pdf["hash"].tolist()
-        rows = sweep(hashes, [list(p) if p is not None else [] for p in pdf["prev"]])
-        kept = [(d, h, *r) for d, h, r in zip(pdf["dag_id"], hashes, rows) if r is not None]
-        return pd.DataFrame(kept, columns=["dag_id", "hash", "topo", "chain", "idx", "vc"])
-
-    kind = entries.schema["dag_id"].dataType.simpleString()
-    narrow = entries.select("dag_id", "hash", "prev").dropDuplicates(["dag_id", "hash"])
-    index = narrow.groupBy("dag_id").applyInPandas(run, f"dag_id {kind}, hash string, {INDEX}")
-    return entries.dropDuplicates(["dag_id", "hash"]).join(index, ["dag_id", "hash"])
+    if wide:
+        index = chain_index(entries.select("dag_id", "hash", "prev")).drop("prev")
+        return entries.dropDuplicates(["dag_id", "hash"]).join(index, ["dag_id", "hash"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_logs(batches):
+            hashes, prevs = table.column("hash").to_pylist(), table.column("prev").to_pylist()
+            rows: list[tuple[int, int, int, list[int]] | None] = []
+            for a, b in spans(table.column("dag_id").to_pylist()):
+                rows += sweep(hashes[a:b], [p or [] for p in prevs[a:b]])
+            if None in rows:
+                table = table.filter(pa.array([r is not None for r in rows]))
+            places = arrow_rows([r for r in rows if r is not None], PLACES)
+            for name, column in zip(PLACES, places.columns):
+                table = table.append_column(name, column)
+            yield from table.to_batches(10_000)
+
+    known = entries.filter("dag_id is not null and hash is not null")
+    fields = [StructField(f.name, f.dataType) for f in entries.schema.fields]
+    return clustered(known).mapInArrow(run, StructType([*fields, *StructType.fromDDL(INDEX).fields]))
 
 
 def leq(a: str, b: str) -> Column:

@@ -55,7 +55,7 @@ class LogStore:
         return self.entries().groupBy("dag_id").agg(F.count(F.lit(1)).alias("n_entries"))
 
     def indexed(self, dag_id: str | None = None) -> DataFrame:
-        return chain_index(self.entries(dag_id))
+        return chain_index(self.entries(dag_id), wide=True)
 
     def copy_to(self, other: LogStore, dag_id: str) -> None:
         other.append(self.entries(dag_id))
