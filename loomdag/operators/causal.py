@@ -13,7 +13,8 @@ a comparison among at most as many candidates as there are chains.
 
 ``entries``: dag_id, hash, prev array<string>, anything else.
 Indexed entries add topo (int), chain (int), idx (int), vc array<int>.
-Positions: dag_id, pos_id, hash (one row per hash of the position).
+Positions: dag_id, pos_id, hash (one row per hash of the position). Where they come from the
+index they may keep its chain, idx and vc; then they are not looked up.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -41,7 +43,7 @@ def sweep(hashes: list[str], prevs: list[list[str]]) -> list[tuple[int, int, int
     waiting = [0] * len(hashes)
     after: list[list[int]] = [[] for _ in hashes]
     for i, prev in enumerate(prevs):
-        for p in set(prev):
+        for p in set(prev) if len(prev) > 1 else prev:
             waiting[i] += 1
             if p in at:
                 after[at[p]].append(i)
@@ -52,18 +54,23 @@ def sweep(hashes: list[str], prevs: list[list[str]]) -> list[tuple[int, int, int
     topo = 0
     while ready:
         _, i = heapq.heappop(ready)
-        own = sorted({at[p] for p in prevs[i]}, key=lambda p: hashes[p])
-        vc: list[int] = []
-        for p in own:
+        own = [at[p] for p in prevs[i]]
+        if len(own) > 1:
+            own = sorted(set(own), key=hashes.__getitem__)
+        vc = list(out[own[0]][3]) if own else []
+        for p in own[1:]:
             other = out[p][3]
-            vc = [max(a, b) for a, b in zip(vc + [-1] * (len(other) - len(vc)), other + [-1] * (len(vc) - len(other)))]
+            vc += [-1] * (len(other) - len(vc))
+            for c, top in enumerate(other):
+                if top > vc[c]:
+                    vc[c] = top
         chain = next((out[p][1] for p in own if tails[out[p][1]] == out[p][2]), None)
         if chain is None:  # any chain that ends in the history will do: its order is ancestry, not succession
             chain = next((c for c, top in enumerate(vc) if top == tails[c]), len(tails))
         if chain == len(tails):
             tails.append(-1)
         tails[chain] += 1
-        vc = vc + [-1] * (chain + 1 - len(vc))
+        vc += [-1] * (chain + 1 - len(vc))
         vc[chain] = tails[chain]
         out[i] = (topo, chain, tails[chain], vc)
         topo += 1
@@ -108,6 +115,17 @@ def whole_logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def lists(column: pa.ChunkedArray) -> list[list]:
+    """A column of lists as Python's, a missing one empty; item by item pyarrow takes longer."""
+    out: list[list] = []
+    for chunk in column.chunks:
+        flat, at = chunk.flatten().to_pylist(), 0
+        for n in pc.list_value_length(chunk).to_pylist():
+            out.append(flat[at : at + (n or 0)])
+            at += n or 0
+    return out
+
+
 def arrow_rows(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], names=list(types))
@@ -126,10 +144,10 @@ def chain_index(entries: DataFrame, wide: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_logs(batches):
-            hashes, prevs = table.column("hash").to_pylist(), table.column("prev").to_pylist()
+            hashes, prevs = table.column("hash").to_pylist(), lists(table.column("prev"))
             rows: list[tuple[int, int, int, list[int]] | None] = []
             for a, b in spans(table.column("dag_id").to_pylist()):
-                rows += sweep(hashes[a:b], [p or [] for p in prevs[a:b]])
+                rows += sweep(hashes[a:b], prevs[a:b])
             if None in rows:
                 table = table.filter(pa.array([r is not None for r in rows]))
             places = arrow_rows([r for r in rows if r is not None], PLACES)
@@ -172,10 +190,17 @@ def _merge(vcs: Column) -> Column:
     )
 
 
+def _placed(index: DataFrame, positions: DataFrame) -> DataFrame:
+    """Positions with the chain, idx and vc of their entries."""
+    place = ["chain", "idx", "vc"]
+    if set(place) <= set(positions.columns):
+        return positions.select("dag_id", "pos_id", "hash", *place)
+    return positions.select("dag_id", "pos_id", "hash").distinct().join(index.select("dag_id", "hash", *place), ["dag_id", "hash"])
+
+
 def at_positions(index: DataFrame, positions: DataFrame) -> DataFrame:
     """dag_id, pos_id, ``vc`` of the whole position and its ``members`` (chain, idx, vc)."""
-    met = positions.select("dag_id", "pos_id", "hash").join(index.select("dag_id", "hash", "chain", "idx", "vc"), ["dag_id", "hash"])
-    grouped = met.groupBy("dag_id", "pos_id").agg(F.collect_list(F.struct("chain", "idx", "vc")).alias("members"))
+    grouped = _placed(index, positions).groupBy("dag_id", "pos_id").agg(F.collect_list(F.struct("chain", "idx", "vc")).alias("members"))
     return grouped.withColumn("vc", _merge(F.transform("members", lambda m: m["vc"])))
 
 
@@ -204,15 +229,12 @@ def walk_back(index: DataFrame, positions: DataFrame, bounds: DataFrame) -> Data
 
 def concurrent(index: DataFrame, later: DataFrame, at: DataFrame) -> DataFrame:
     """conc(from, at): in the history of ``later``, neither before nor after any member of
-    ``at``; positions meet by (dag_id, pos_id)."""
-    a = at_positions(index, at).select("dag_id", "pos_id", "members")
-    seen = history(index, later).join(a, ["dag_id", "pos_id"])
-    related = F.exists(
-        "members",
-        lambda m: F.coalesce(F.get(m["vc"], F.col("chain")) >= F.col("idx"), F.lit(False))
-        | F.coalesce(F.get(F.col("vc"), m["chain"]) >= m["idx"], F.lit(False)),
-    )
-    return seen.filter(~related).drop("members")
+    ``at``; positions meet by (dag_id, pos_id). What ``at`` has seen is left out where
+    entries meet chains, so the members meet only what is later or beside."""
+    a = at_positions(index, at).select(F.col("dag_id").alias("__dag"), F.col("pos_id").alias("__pos"), "members")
+    own = walk_back(index, later, at).join(a, F.expr("dag_id = __dag and pos_id = __pos"))
+    after = F.exists("members", lambda m: F.coalesce(F.get(F.col("vc"), m["chain"]) >= m["idx"], F.lit(False)))
+    return own.filter(~after).drop("members", "__dag", "__pos")
 
 
 def frontier(entries: DataFrame) -> DataFrame:
@@ -228,8 +250,12 @@ def _unnest(tops: DataFrame, keys: list[str]) -> DataFrame:
 def minimal_cover(index: DataFrame, positions: DataFrame) -> DataFrame:
     """max(P): dag_id, pos_id, hash."""
     keys = ["dag_id", "pos_id"]
-    met = positions.select(*keys, "hash").distinct().join(index.select("dag_id", "hash", "chain", "idx", "vc"), ["dag_id", "hash"])
-    return _unnest(maxima(met, keys, []), keys)
+    return _unnest(maxima(_placed(index, positions), keys, []), keys)
+
+
+def tips(index: DataFrame) -> DataFrame:
+    """The frontier of every log of an index, with chain, idx and vc: the maxima of all."""
+    return maxima(index, ["dag_id"], []).select("dag_id", F.explode("tops").alias("t")).select("dag_id", "t.*")
 
 
 def cover(index: DataFrame, positions: DataFrame, accept: Column) -> DataFrame:
@@ -244,14 +270,14 @@ def concurrent_cover(index: DataFrame, later: DataFrame, at: DataFrame, accept:
     return _unnest(maxima(concurrent(index, later, at).filter(accept), keys, []), keys)
 
 
-def _both(index: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """__dag, pos_id, __chain and how far the left and the right position see into it (-1: not)."""
-    keys = ["__dag", "pos_id", "__chain"]
-    a = reach(at_positions(index, left)).withColumnRenamed("__upto", "__a")
-    b = reach(at_positions(index, right)).withColumnRenamed("__upto", "__b")
-    met = a.select("__dag", "pos_id").distinct().join(b.select("__dag", "pos_id").distinct(), ["__dag", "pos_id"])
-    out = a.join(b, keys, "full_outer").join(met, ["__dag", "pos_id"], "left_semi")
-    return out.select(*keys, F.coalesce("__a", F.lit(-1)).alias("__a"), F.coalesce("__b", F.lit(-1)).alias("__b"))
+def _both(index: DataFrame, left: DataFrame, right: DataFrame, vectors: bool = False) -> DataFrame:
+    """__dag, pos_id, __chain and how far the left and the right position see into it (-1: not);
+    with ``vectors`` also their whole vectors, __va and __vb."""
+    a = at_positions(index, left).select(F.col("dag_id").alias("__dag"), "pos_id", F.col("vc").alias("__va"))
+    b = at_positions(index, right).select(F.col("dag_id").alias("__dag"), "pos_id", F.col("vc").alias("__vb"))
+    chains = a.join(b, ["__dag", "pos_id"]).select("*", F.posexplode(F.arrays_zip("__va", "__vb")).alias("__chain", "__x"))
+    upto = [F.coalesce(F.col(f"__x.{v}"), F.lit(-1)).alias(n) for v, n in (("__va", "__a"), ("__vb", "__b"))]
+    return chains.select("__dag", "pos_id", "__chain", *upto, *(["__va", "__vb"] if vectors else []))
 
 
 def fork_frontier(index: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
