@@ -306,21 +306,19 @@ def fork_position(index: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
     predecessor in common, ``common`` are those predecessors, ``frontier`` the maxima of
     all that is in common. ``index`` has prev.
 
-    Only edges of own entries are looked at, chain by chain; the other end is in common if
-    the other position's vector reaches it. What is in common isn't listed.
+    Only own entries are taken, chain by chain, and only their edges are looked up; the other
+    end is in common if the other position's vector reaches it. What is in common isn't listed.
     """
     keys = ["dag_id", "pos_id"]
-    places = index.select(F.col("dag_id").alias("__log"), F.col("hash").alias("p"), F.col("chain").alias("__pc"), F.col("idx").alias("__pi"))
-    edges = index.select("dag_id", "hash", "chain", "idx", F.explode("prev").alias("__p")).join(places, F.expr("dag_id = __log and __p = p"))
-    a = at_positions(index, left).select(F.col("dag_id").alias("__dag"), "pos_id", F.col("vc").alias("__a"))
-    b = at_positions(index, right).select(F.col("dag_id").alias("__dag"), "pos_id", F.col("vc").alias("__b"))
-    both = a.join(b, ["__dag", "pos_id"])
-    chains = F.posexplode(F.arrays_zip("__a", "__b")).alias("__chain", "__x")
-    both = both.select("*", chains).select("__dag", "pos_id", "__a", "__b", "__chain", *[F.coalesce(F.col(f"__x.{v}"), F.lit(-1)).alias(f"{v}c") for v in ("__a", "__b")])
-    met = edges.join(both.filter("__ac != __bc"), F.expr("dag_id = __dag and chain = __chain and idx > least(__ac, __bc) and idx <= greatest(__ac, __bc)"))
-    met = met.withColumn("part", F.when(F.col("idx") > F.col("__bc"), "left").otherwise("right"))
-    other = F.when(F.col("part") == "left", F.col("__b")).otherwise(F.col("__a"))
-    edge = met.filter(F.coalesce(F.get(other, F.col("__pc")) >= F.col("__pi"), F.lit(False)))
+    both = _both(index, left, right, vectors=True).filter("__a != __b")
+    inside = F.expr("dag_id = __dag and chain = __chain and idx > least(__a, __b) and idx <= greatest(__a, __b)")
+    own = index.select("dag_id", "hash", "chain", "idx", "prev").join(both, inside)
+    own = own.withColumn("part", F.when(F.col("idx") > F.col("__b"), "left").otherwise("right"))
+    other = F.when(F.col("part") == "left", F.col("__vb")).otherwise(F.col("__va"))
+    edges = own.select(*keys, "hash", "part", other.alias("__other"), F.explode("prev").alias("p"))
+    places = index.select(F.col("dag_id").alias("__log"), F.col("hash").alias("__p"), F.col("chain").alias("__pc"), F.col("idx").alias("__pi"))
+    met = edges.join(places, F.expr("dag_id = __log and p = __p"))
+    edge = met.filter(F.coalesce(F.get("__other", F.col("__pc")) >= F.col("__pi"), F.lit(False)))
     ends = F.array(F.struct("hash", "part"), F.struct(F.col("p").alias("hash"), F.lit("common").alias("part")))
     found = edge.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.*").distinct()
     return found.unionByName(fork_frontier(index, left, right).withColumn("part", F.lit("frontier")))
